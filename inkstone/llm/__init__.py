@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkstone.llm import jaccard_join, quality_rules, repeats, sharding
+from inkstone.llm import decontaminate, jaccard_join, quality_rules, repeats, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_feistel_sharding": sharding.op2_feistel_sharding,
         "op3_jaccard_join": jaccard_join.op3_jaccard_join,
         "op9_repeats": repeats.op9_repeats,
+        "op10_decontaminate": decontaminate.op10_decontaminate,
     }
 
 
