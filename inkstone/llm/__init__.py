@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkstone.llm import decontaminate, jaccard_join, quality_rules, repeats, sharding
+from inkstone.llm import chat, decontaminate, jaccard_join, licenses, quality_rules, repeats, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_rules": quality_rules.op1_quality_rules,
         "op2_feistel_sharding": sharding.op2_feistel_sharding,
         "op3_jaccard_join": jaccard_join.op3_jaccard_join,
+        "op4_licenses": licenses.op4_licenses,
+        "op5_chat": chat.op5_chat,
         "op9_repeats": repeats.op9_repeats,
         "op10_decontaminate": decontaminate.op10_decontaminate,
     }
