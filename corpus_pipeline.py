@@ -1,19 +1,55 @@
-"""The corpus pipeline: each stage takes (spark, docs, sf_dir) and returns the documents it hands on."""
+"""The corpus pipeline: each stage takes (spark, docs, sf_dir) and returns the documents it hands on.
+
+quality rules -> n-gram Jaccard join -> benchmark decontamination -> mixing -> sharding. All but the last
+return the columns of documents. Mixing reads sources whose weight exceeds their share more than once, so
+a document may stand there more than once, in the order of the schedule; sharding places every such row.
+"""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstone.llm._common import table
+from inkstone.llm.decontaminate import CONTAMINATED, find_benchmark
+from inkstone.llm.jaccard_join import jaccard_classes
+from inkstone.llm.mixing import mix
 from inkstone.llm.quality_rules import judge
 from inkstone.llm.sharding import place_rows
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
-    verdict = judge(docs, table(spark, sf_dir, "labels"), ["doc_id"], F.col("lang"))
-    return docs.join(verdict.where("NOT kept").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """Documents that the quality rules reject go.
+
+    Rows are judged with their texts' MD5, so rows that repeat a doc_id with other texts stay apart.
+    """
+    keyed = docs.withColumn("_md5", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    verdict = judge(keyed, table(spark, sf_dir, "labels"), ["doc_id", "_md5"], F.col("lang"))
+    gone = verdict.where("NOT kept").select(F.col("doc_id").alias("_d"), F.col("_md5").alias("_m")).distinct()
+    on = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_md5") == F.col("_m"))
+    return keyed.join(gone, on, "left_anti").select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked documents stays: that of the smallest doc_id."""
+    gone = jaccard_classes(docs).where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which 5 % of the words or more stand in benchmark windows go."""
+    columns = docs.columns
+    hit = find_benchmark(docs, table(spark, sf_dir, "benchmark"), columns)
+    return hit.where(f"NOT ({CONTAMINATED})").select(columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in the order of the Pfair schedule; a source that must be read again is."""
+    order = docs.withColumn("_crc", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
+    return mix(order).repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id").select(docs.columns)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,13 +59,25 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return place_rows(narrow, ["doc_id", "text_crc32", "n_bytes", "source"], 40)
 
 
-STAGES = [("quality_rules", quality), ("sharding", shard)]
+STAGES = [
+    ("quality_rules", quality),
+    ("jaccard_join", near_duplicates),
+    ("decontamination", decontaminate),
+    ("mixing", mix_sources),
+    ("sharding", shard),
+]
 
+#: Signatures, suffix ranges and the schedule are not SQL; tests/llm hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    directory = spark.sparkContext._jsc.sc().getCheckpointDir()
+    base = directory.get() if directory.isDefined() else spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    for name, stage in STAGES[:-1]:
+        path = f"{base}/pipeline-{uuid.uuid4()}/{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)
