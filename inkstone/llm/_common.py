@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -28,13 +29,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def gapless(df: DataFrame, order: list[str], name: str, within: str | None = None, buckets: int = 1024) -> DataFrame:
+def release(spark: SparkSession) -> None:
+    """Let Spark drop shuffle files that nothing reads any more, before the next large shuffle."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def gapless(df: DataFrame, order: list[str], name: str, within: str | None = None, buckets: int = 1024, few: bool = False) -> DataFrame:
     """Number rows 0, 1, 2, ... over the table (or in each value of `within`) without one global sort.
 
     Rows go to `buckets` hash buckets of the `order` columns, are ranked inside each bucket, and each
     bucket starts at the sum of the buckets before it. The number depends on the rows alone, not on
     the partitioning; only rows equal in all of `order` may swap numbers. A hot value of `within` is
-    spread over all buckets. The table of starts has at most buckets x distinct(within) rows.
+    spread over all buckets. The table of starts has at most buckets x distinct(within) rows; say `few` where
+    that is known to be small enough to broadcast (always so without `within`).
     """
     keys = [within] if within else []
     b = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
@@ -49,7 +57,7 @@ def gapless(df: DataFrame, order: list[str], name: str, within: str | None = Non
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
     return (
-        ranked.join(starts, on)
+        ranked.join(F.broadcast(starts) if few or not within else starts, on)
         .withColumn(name, F.col("_start") + F.col("_rank") - 1)
         .drop("_bucket", "_b", "_start", "_rank", *[f"_k_{k}" for k in keys])
     )

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkstone.llm._common import cut
+from inkstone.llm._words import trim
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -64,18 +68,23 @@ class Sieve:
         self.words = np.zeros(1 << (bits - 6), dtype=np.uint64)
         self.words[marks["word"].to_numpy()] = marks["m"].to_numpy().view(np.uint64)
 
-    def column(self, key: str):
-        """A boolean column: may the key be present? (For a DataFrame of which `key` is a long column.)"""
-        words, bits = self.words, self.bits
+    def hashes(self, key: str) -> list:
+        """Columns to append, last, for `before`."""
+        return [F.xxhash64(F.lit(1), key).alias("_h1"), F.xxhash64(F.lit(2), key).alias("_h2")]
 
-        @F.pandas_udf("boolean")
-        def present(h1, h2):
-            def has(h):
-                p = (h.to_numpy().view(np.uint64) >> np.uint64(8)) & np.uint64((1 << bits) - 1)
-                return (words[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) != 0
+    def before(self, function=None):
+        """`function` over Arrow batches of the rows that may be present, without the hash columns."""
+        words, bits = self.words, self.bits
 
-            import pandas as pd
+        def has(h: pa.Array) -> np.ndarray:
+            p = (h.to_numpy().view(np.uint64) >> np.uint64(8)) & np.uint64((1 << bits) - 1)
+            return (words[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) != 0
 
-            return pd.Series(has(h1) & has(h2))
+        def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                n = batch.num_columns - 2
+                mask = has(batch.column(n)) & has(batch.column(n + 1))
+                yield batch.select(list(range(n))).filter(pa.array(mask))
+            trim()
 
-        return present(F.xxhash64(F.lit(1), key), F.xxhash64(F.lit(2), key))
+        return passed if function is None else lambda batches: function(passed(batches))

@@ -10,14 +10,15 @@ partitions:
   signature, with n1 (k2 + 1) > k, so linked sets share a signature;
 * large bands: n1 > k partitions, each one signature, so linked sets agree on n1 - k or more.
 
-Signatures are routed in packed blocks, six bytes each, to buckets, where sets with equal signatures
+Signatures are routed in packed blocks, five bytes each, to buckets, where sets with equal signatures
 meet. Copies (equal sets) collapse to their smallest doc_id there. A signature shared by at most
 `hot` different sets yields its pairs. A hotter one (a common passage, a large family of near copies)
 yields stars to two leaders, and costs each member one of the agreements that it can spare: a pair can be
 lost only if both members spend more than they can spare, and only such rows of hot signatures go to
-`_rest`, which compares them across the components found so far. Empty partitions are never sent
-(they count as spent), unless a set cannot spare them. Every pair is verified on whole sets; links
-between different sets then give components. No link is capped or dropped.
+`_rest`, which compares them block by block. Empty partitions are never sent (they count as spent), unless a set cannot spare them.
+Pairs that share fewer signatures than a link must are dropped unseen. Each set is first verified against the smaller one with which it shares most signatures, on whole sets;
+every other pair after that, unless its ends are in one component by then, which its link could not
+change. No link is capped or dropped.
 
 Copies that only repeat a set cost no pairs. Nulls and texts without words: empty set, linked with
 nothing, component = own doc_id. A null doc_id is reported with a null component and links nothing.
@@ -37,13 +38,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstone.llm._common import cut, table
+from inkstone.llm._common import cut, gapless, release, table
 from inkstone.llm._graph import Sieve, components
-from inkstone.llm._words import SPACED, Words, mix, slices
+from inkstone.llm._words import SPACED, Words, mix, slices, trim
 
 GRAM = 5
 #: Different sets that may share a signature before it counts as hot: at most hot^2 / 2 pairs each.
 HOT = 24
+#: Sets in a block of those that are compared all with all.
+BLOCK = 512
 #: Up to this size (of a band's end) partitions are divided and subsets enumerated.
 SMALL = 40
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
@@ -161,7 +164,7 @@ def _blocks(buckets: int):
             order = np.argsort(bucket, kind="stable")
             bucket, flat, row = bucket[order], flat[order], row[order]
             edges = np.searchsorted(bucket, np.arange(buckets + 1))
-            six = np.ascontiguousarray((flat >> np.uint64(16)).astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6]
+            five = np.ascontiguousarray((flat >> np.uint64(24)).astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :5]
             out = {"bucket": [], "ids": [], "sigs": []}
             for b in np.flatnonzero(np.diff(edges)):
                 lo, hi = edges[b], edges[b + 1]
@@ -170,7 +173,7 @@ def _blocks(buckets: int):
                 part["count"] = n
                 out["bucket"].append(int(b))
                 out["ids"].append(part.tobytes())
-                out["sigs"].append(six[lo:hi].tobytes())
+                out["sigs"].append(five[lo:hi].tobytes())
             yield pa.record_batch([pa.array(v, t) for v, t in zip(out.values(), _BLOCK.types, strict=True)], schema=_BLOCK)
             docs.clear()
             sigs.clear()
@@ -184,12 +187,12 @@ def _blocks(buckets: int):
                         continue
                     with np.errstate(over="ignore"):
                         fp = int(mix(np.array([np.sum(mix(s), dtype=np.uint64) + np.uint64(len(s))]))[0])
-                    docs.append((doc, fp, len(s), -1, 0))
-                    sigs.append(np.array([fp], dtype=np.uint64))
                     b = bands(1 << 40)
                     own = int(np.searchsorted(b, len(s), side="right")) - 1
-                    for j in (own, own + 1):
-                        x, spare = signatures(s, len(s), j)
+                    both = [(j, *signatures(s, len(s), j)) for j in (own, own + 1)]
+                    docs.append((doc, fp, len(s), -1, max(min(32000, *(spare for _, _, spare in both)), -32000)))
+                    sigs.append(np.array([fp], dtype=np.uint64))
+                    for j, x, spare in both:
                         if len(x):
                             docs.append((doc, fp, len(s), j, max(min(spare, 32000), -32000)))
                             sigs.append(x)
@@ -198,6 +201,7 @@ def _blocks(buckets: int):
                     yield from flush()
                     held = 0
         yield from flush()
+        trim()
 
     return run
 
@@ -206,7 +210,8 @@ _MET = "kind int, a long, b long, c long"
 
 
 def _meet(hot: int):
-    """All blocks of a bucket to rows: 0 (doc, representative, n), 1 (pair), 2 (doc, band: hot met, spare), 3 (doc, hot signature)."""
+    """All blocks of a bucket to rows: 0 (doc, representative: n and what it can spare), 1 (pair with a group's leader: signatures shared),
+    2 (doc, band: hot met, spare), 3 (doc, hot signature), 4 (any other pair: signatures shared)."""
 
     def run(t: pa.Table) -> pa.Table:
         heads, keys, rows = [], [], []
@@ -215,9 +220,9 @@ def _meet(hot: int):
         bucket = t.column("bucket")[0].as_py()
         for ids, sigs in zip(t.column("ids"), t.column("sigs"), strict=True):
             head = np.frombuffer(ids.as_py(), dtype=_DOC)
-            six = np.frombuffer(sigs.as_py(), dtype=np.uint8).reshape(-1, 6)
-            wide = np.zeros((len(six), 8), dtype=np.uint8)
-            wide[:, :6] = six
+            five = np.frombuffer(sigs.as_py(), dtype=np.uint8).reshape(-1, 5)
+            wide = np.zeros((len(five), 8), dtype=np.uint8)
+            wide[:, :5] = five
             heads.append(head)
             keys.append(wide.view("<u8").ravel())
             rows.append(np.repeat(np.arange(base, base + len(head), dtype=np.int32), head["count"]))
@@ -236,7 +241,7 @@ def _meet(hot: int):
             first = np.ones(len(own), dtype=bool)
             first[1:] = (own["fp"][1:] != own["fp"][:-1]) | (own["n"][1:] != own["n"][:-1])
             rep = own["id"][np.maximum.accumulate(np.where(first, np.arange(len(own)), 0))]
-            add(0, own["id"], rep, own["n"])
+            add(0, own["id"], rep, own["n"].astype(np.int64) * 65536 + own["spare"] + 32768)
         del own
         mine = head["band"][row] >= 0
         key, row = key[mine], row[mine]
@@ -260,13 +265,14 @@ def _meet(hot: int):
         sizes = np.diff(np.append(starts, len(key)))
         group = np.repeat(np.arange(len(starts)), sizes)
         place = np.arange(len(key)) - starts[group] if len(key) else np.zeros(0, int)
-        pa_, pb_ = [], []
+        pa_, pb_, kind = [], [], []
         for gap in range(1, hot):
             i = np.flatnonzero((place >= gap) & (sizes[group] <= hot)) if len(key) else np.zeros(0, int)
             if not len(i):
                 break
             pa_.append(doc[i - gap])
             pb_.append(doc[i])
+            kind.append(np.where(place[i] == gap, 1, 4))
         big = np.flatnonzero(sizes > hot)
         if len(big):
             inside = sizes[group] > hot
@@ -278,18 +284,27 @@ def _meet(hot: int):
                 leader[big] = d[head_of]
                 pa_.append(leader[g])
                 pb_.append(d)
+                kind.append(np.ones(len(d), dtype=np.int64))
             met = np.unique(np.stack([row[inside].astype(np.int64)], 1), axis=0, return_counts=True)
             who = head[met[0][:, 0]]
             add(2, who["id"], who["band"].astype(np.int64) * 65536 + (who["spare"].astype(np.int64) + 32768), met[1])
             add(3, d, key[inside].astype(np.int64) * 65536 + bucket % 65536, np.ones(len(d)))
         if pa_:
             x, y = np.concatenate(pa_), np.concatenate(pb_)
-            x, y = np.minimum(x, y), np.maximum(x, y)
-            apart = x != y
-            pair = np.unique(np.stack([x[apart], y[apart]], 1), axis=0)
-            add(1, pair[:, 0], pair[:, 1], np.ones(len(pair)))
+            x, y, z = np.minimum(x, y), np.maximum(x, y), np.concatenate(kind)
+            order = np.lexsort((z, y, x))
+            x, y, z = x[order], y[order], z[order]
+            first = np.ones(len(x), dtype=bool)
+            first[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+            at = np.flatnonzero(first)
+            times = np.diff(np.append(at, len(x)))
+            for number in (1, 4):
+                it = (x[at] != y[at]) & (z[at] == number)
+                add(number, x[at[it]], y[at[it]], times[it])
         kinds = np.concatenate([np.full(len(a), k, np.int32) for k, a, _, _ in out]) if out else np.zeros(0, np.int32)
         cols = [np.concatenate([o[i] for o in out]) if out else np.zeros(0, np.int64) for i in (1, 2, 3)]
+        del head, key, row, heads, keys, rows
+        trim()
         return pa.table({"kind": kinds, "a": cols[0], "b": cols[1], "c": cols[2]})
 
     return run
@@ -298,20 +313,38 @@ def _meet(hot: int):
 # --- verification -----------------------------------------------------------------------------------
 
 
-def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) to (id, the low 40 bits of each word's hash): five bytes a word."""
     for batch in batches:
         for lo, hi in slices(batch.column(1)):
-            sets = shingle_sets(batch.column(1).slice(lo, hi - lo))
-            yield pa.record_batch(
-                [batch.column(0).slice(lo, hi - lo), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "s"]
-            )
+            w = Words(batch.column(1).slice(lo, hi - lo), SPACED)
+            five = np.ascontiguousarray(w.hash.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+            parts = [five[5 * x : 5 * y] for x, y in zip(w.first[:-1], w.first[1:], strict=True)]
+            yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array(parts, pa.binary())], names=["id", "s"])
+
+
+def _set_of(sequence: bytes) -> np.ndarray:
+    wide = np.zeros((len(sequence) // 5, 8), dtype=np.uint8)
+    wide[:, :5] = np.frombuffer(sequence, dtype=np.uint8).reshape(-1, 5)
+    h = wide.view("<u8").ravel()
+    m = len(h) - GRAM + 1
+    if m < 1:
+        return mix(np.array([np.sum(h * _K[: len(h)], dtype=np.uint64) + np.uint64(len(h))])) if len(h) else h
+    g = np.zeros(m, dtype=np.uint64)
+    for j in range(GRAM):
+        g += mix(h[j : j + m]) * _K[j]
+    return np.unique(mix(g))
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    last: tuple[bytes, np.ndarray] = (b"", np.zeros(0, np.uint64))
     for batch in batches:
         keep = np.zeros(len(batch), dtype=bool)
         for i, (x, y) in enumerate(zip(batch.column("sa"), batch.column("sb"), strict=True)):
-            r, s = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
+            x = x.as_py()
+            if x != last[0]:
+                last = (x, _set_of(x))
+            r, s = last[1], _set_of(y.as_py())
             if 4 * min(len(r), len(s)) < 3 * max(len(r), len(s)) or not len(r):
                 continue
             both = np.concatenate([r, s])
@@ -319,21 +352,112 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             common = int(np.count_nonzero(both[1:] == both[:-1]))
             keep[i] = 100 * common >= 75 * (len(r) + len(s) - common)
         yield batch.select(["a", "b"]).filter(pa.array(keep))
+    trim()
 
 
 def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose sets link; sets are made only for documents in pairs."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    """The pairs (a, b) of doc_ids whose sets link.
+
+    Word sequences are made only for documents in pairs and shuffled once by id; both joins read that
+    one shuffle. Different words are told apart by 40-bit hashes of the pair's own words.
+    """
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
     sieve = Sieve(ids, "id")
-    sets = docs.select("doc_id", "text").where(sieve.column("doc_id")).mapInArrow(_sets_of, "id long, s binary")
-    sets = cut(sets.join(ids, "id", "left_semi").dropDuplicates(["id"]))
-    one = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
-    two = one.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb")
-    return two.mapInArrow(_linked, "a long, b long")
+    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    made = made.select("doc_id", "text", *sieve.hashes("doc_id")).mapInArrow(sieve.before(_sequences), "id long, s binary")
+    x, y, p = made.alias("x"), made.alias("y"), pairs.alias("p")
+    one = p.join(x, F.col("p.a") == F.col("x.id")).select("p.a", "p.b", F.col("x.s").alias("sa")).alias("o")
+    two = one.join(y, F.col("o.b") == F.col("y.id")).select("o.a", "o.b", "o.sa", F.col("y.s").alias("sb"))
+    return two.mapInArrow(_linked, "a long, b long").distinct()
+
+
+def _possible(met: DataFrame) -> DataFrame:
+    """Pairs (a, b, c: signatures shared) that share as many as a link must.
+
+    Linked sets agree on at least spare + 1 full partitions; those that were hot need not show up in c.
+    """
+    shared = met.where("kind IN (1, 4)").groupBy("a", "b").agg(F.sum("c").alias("c"))
+    hot = met.where("kind = 2").groupBy(F.col("a").alias("id")).agg(F.sum("c").alias("hot"))
+    need = (
+        met.where("kind = 0")
+        .select(F.col("a").alias("id"), (F.pmod("c", F.lit(65536)) - 32768).alias("spare"))
+        .join(hot, "id", "left")
+        .select("id", (F.col("spare") + 1 - F.coalesce("hot", F.lit(0))).alias("need"))
+    )
+    return (
+        shared.join(need.select(F.col("id").alias("a"), F.col("need").alias("na")), "a")
+        .join(need.select(F.col("id").alias("b"), F.col("need").alias("nb")), "b")
+        .where("c >= na AND c >= nb")
+        .select("a", "b", "c")
+    )
+
+
+def _across(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """The pairs whose ends are not yet in one component."""
+    c = comp.groupBy("node").agg(F.min("component").alias("c"))
+    return (
+        pairs.join(c.select(F.col("node").alias("a"), F.col("c").alias("ca")), "a", "left")
+        .join(c.select(F.col("node").alias("b"), F.col("c").alias("cb")), "b", "left")
+        .where("ca IS NULL OR cb IS NULL OR ca <> cb")
+        .select("a", "b")
+    )
+
 
+def _block_links(t: pa.Table) -> pa.Table:
+    """Links inside a pair of blocks, as many as connect what they connect.
 
-def _rest(docs: DataFrame, met: DataFrame, links: DataFrame) -> DataFrame | None:
-    """Links between sets that spent more agreements than they can spare, across the components so far."""
+    Overlaps of all its sets come from matrix products over slices of the features that occur twice.
+    """
+    side = np.array(t.column("side").to_pylist(), dtype=np.int64)
+    ids, comp = t.column("id").to_numpy(), t.column("comp").to_numpy()
+    sets = [_set_of(x) for x in t.column("s").to_pylist()]
+    size = np.array([len(x) for x in sets])
+    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)  # side 2: both
+    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    row = np.repeat(np.arange(len(sets)), size)
+    _, feature, times = np.unique(flat, return_inverse=True, return_counts=True)
+    twice = times[feature] > 1
+    row, feature = row[twice], feature[twice]
+    number = np.cumsum(times > 1) - 1
+    feature = number[feature]
+    order = np.argsort(feature, kind="stable")
+    row, feature = row[order], feature[order]
+    common = np.zeros((len(left), len(right)), dtype=np.float32)
+    width = 2048
+    for lo in range(0, int(feature[-1]) + 1 if len(feature) else 0, width):
+        i, j = np.searchsorted(feature, [lo, lo + width])
+        m = np.zeros((len(sets), width), dtype=np.float32)
+        m[row[i:j], feature[i:j] - lo] = 1
+        common += m[left] @ m[right].T
+    union = size[left][:, None] + size[right][None, :] - common
+    x, y = np.nonzero(100 * common >= 75 * union)
+    x, y = left[x], right[y]
+    up = {c: c for c in comp.tolist()}
+
+    def find(c):
+        while up[c] != c:
+            up[c] = up[up[c]]
+            c = up[c]
+        return c
+
+    a, b = [], []
+    for i, j in zip(x.tolist(), y.tolist(), strict=True):
+        p, q = find(int(comp[i])), find(int(comp[j]))
+        if p != q:
+            up[max(p, q)] = min(p, q)
+            a.append(int(ids[i]))
+            b.append(int(ids[j]))
+    trim()
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _rest(docs: DataFrame, met: DataFrame, comp: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Links between sets that spent more agreements than they can spare, across the components so far.
+
+    Only such sets that share a hot signature with another component come here. Those that hot signatures
+    connect form a family; families are cut into size classes (links stay in a class or reach the next) and
+    blocks of `block` sets, and each pair of blocks is compared in one task. No pairs are written.
+    """
     spent = (
         met.where("kind = 2")
         .groupBy(F.col("a").alias("id"), F.shiftright("b", 16).alias("band"))
@@ -341,63 +465,87 @@ def _rest(docs: DataFrame, met: DataFrame, links: DataFrame) -> DataFrame | None
         .where("hot > spare")
     )
     unsafe = spent.select("id").distinct()
-    comp = components(links)
     rows = (
         met.where("kind = 3")
         .select(F.col("a").alias("id"), F.col("b").alias("sig"))
         .join(unsafe, "id")
-        .join(comp.withColumnRenamed("node", "id"), "id", "left")
+        .join(comp.groupBy(F.col("node").alias("id")).agg(F.min("component").alias("component")), "id", "left")
         .select("id", "sig", F.coalesce("component", "id").alias("comp"))
     )
-    mixed = rows.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig")
-    open_rows = cut(rows.join(mixed, "sig"))
-    if open_rows.isEmpty():
-        return None
-    x, y = open_rows.alias("x"), open_rows.alias("y")
-    return (
-        x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.comp") < F.col("y.comp")))
-        .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+    mixed = rows.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("id").alias("lead")).where("lo < hi")
+    open_ = cut(rows.join(mixed.select("sig", "lead"), "sig").select("id", "comp", "lead").distinct())
+    family = components(open_.select(F.col("lead").alias("a"), F.col("id").alias("b")))
+    size = met.where("kind = 0").select(F.col("a").alias("id"), F.shiftright("c", 16).alias("n"))
+    placed = (
+        open_.select("id", "comp")
         .distinct()
+        .join(family.groupBy(F.col("node").alias("id")).agg(F.min("component").alias("family")), "id")
+        .join(size, "id")
+        .withColumn("class", F.floor(F.log(F.col("n").cast("double")) / math.log(4 / 3) + 1e-9).cast("int"))
+    )
+    placed = cut(
+        gapless(placed.withColumn("group", F.concat_ws(":", "family", "class")), ["id"], "no", within="group", buckets=64)
+        .withColumn("block", (F.col("no") / block).cast("int"))
+        .select("id", "comp", "family", "class", "block")
+    )
+    blocks = placed.groupBy("family", F.col("class").alias("of")).agg((F.max("block") + 1).alias("blocks"))
+    # A set goes to each pair of its block with one of its own class, of the next, and of the one before.
+    near = placed.withColumn("of", F.explode(F.array(F.col("class") - 1, "class", F.col("class") + 1))).join(blocks, ["family", "of"])
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    task = near.withColumn("other", other).withColumns(
+        {
+            "low": F.least(F.struct(F.col("class").alias("c"), F.col("block").alias("b")), F.struct(F.col("of").alias("c"), F.col("other").alias("b"))),
+            "high": F.greatest(F.struct(F.col("class").alias("c"), F.col("block").alias("b")), F.struct(F.col("of").alias("c"), F.col("other").alias("b"))),
+        }
     )
+    own = F.struct(F.col("class").alias("c"), F.col("block").alias("b"))
+    task = task.select(
+        "id", "comp", F.concat_ws(":", "family", "low.c", "low.b", "high.c", "high.b").alias("task"),
+        F.when(F.col("low") == F.col("high"), 2).when(own == F.col("low"), 0).otherwise(1).alias("side"),
+    )
+    sieve = Sieve(placed.select("id"), "id")
+    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select("doc_id", "text", *sieve.hashes("doc_id"))
+    made = made.mapInArrow(sieve.before(_sequences), "id long, s binary").dropDuplicates(["id"])
+    return task.join(made, "id").groupBy("task").applyInArrow(_block_links, "a long, b long").distinct()
 
 
 def jaccard_classes(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """docs(doc_id, text) to doc_id, n_shingles, component_id, n_links (links between different sets)."""
+    """docs(doc_id, text) to doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
-    # A block task should hold some 40 MB of signatures; the input's size is the planner's estimate.
+    # A bucket should hold some 15 MB of signatures; the input's size is the planner's estimate.
     size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = int(min(max(size // (16 << 20), width), 1 << 20))
-    blocks = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_blocks(buckets), "bucket int, ids binary, sigs binary")
+    buckets = int(min(max(size // (8 << 20), width), 1 << 20))
     met = cut(
-        blocks.groupBy("bucket")
+        docs.select(F.col("doc_id").cast("long"), "text")
+        .mapInArrow(_blocks(buckets), "bucket int, ids binary, sigs binary")
+        .groupBy("bucket")
         .applyInArrow(_meet(hot), _MET)
         .groupBy("kind", "a", "b")
-        .agg(F.when(F.col("kind") == 2, F.sum("c")).otherwise(F.max("c")).alias("c"))
+        .agg(F.when(F.col("kind") == 0, F.max("c")).otherwise(F.sum("c")).alias("c"))
     )
-    pairs = met.where("kind = 1").select("a", "b")
-    links = cut(verify(docs, pairs))
-    more = _rest(docs, met, links)
-    if more is not None:
-        links = cut(links.unionByName(verify(docs, more)))
+    release(spark)
+    pairs = _possible(met)
+    # First each set with the smaller one with which it shares most signatures.
+    first = pairs.groupBy("b").agg(F.max_by("a", F.struct("c", -F.col("a"))).alias("a")).select("a", "b")
+    links = cut(verify(docs, first))
+    release(spark)
+    comp = cut(components(links))
+    open_ = _across(pairs.select("a", "b"), comp).join(first, ["a", "b"], "left_anti")
+    links = cut(links.unionByName(verify(docs, cut(open_))))
+    comp = cut(components(links))
+    links = cut(links.unionByName(_rest(docs, met, comp)))
+    release(spark)
     comp = components(links)
-    ends = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep")))
     classes = (
         met.where("kind = 0")
-        .select(F.col("a").alias("doc_id"), F.col("b").alias("rep"), F.col("c").alias("n_shingles"))
+        .select(F.col("a").alias("doc_id"), F.col("b").alias("rep"), F.shiftright("c", 16).alias("n_shingles"))
         .join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-        .join(ends.groupBy("rep").agg(F.count(F.lit(1)).alias("n_links")), "rep", "left")
         .groupBy("doc_id")
-        .agg(
-            F.max("n_shingles").alias("n_shingles"),
-            F.min(F.coalesce("component", "rep")).alias("component_id"),
-            F.max("n_links").alias("n_links"),
-        )
+        .agg(F.max("n_shingles").alias("n_shingles"), F.min(F.coalesce("component", "rep")).alias("component_id"))
     )
-    out = docs.select(F.col("doc_id").cast("long")).join(classes, "doc_id", "left")
-    return out.select(
-        "doc_id", F.coalesce("n_shingles", F.lit(0)).cast("long").alias("n_shingles"),
-        F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+    return docs.select(F.col("doc_id").cast("long")).join(classes, "doc_id", "left").select(
+        "doc_id", F.coalesce("n_shingles", F.lit(0)).cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
     )
 
 

@@ -78,7 +78,8 @@ def mix(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_RO
     slots = spark.createDataFrame(
         plan, "_source string, _block long, epoch long, release long, deadline long, position long"
     )
-    numbered = gapless(docs, ["doc_id", "_crc"], "_no", within="source") if "_crc" in docs.columns else gapless(docs, ["doc_id"], "_no", within="source")
+    order = ["doc_id", "_crc"] if "_crc" in docs.columns else ["doc_id"]
+    numbered = gapless(docs, order, "_no", within="source", few=len(counts) * 1024 <= 2_000_000)
     numbered = numbered.withColumn("block", ((F.col("_no") - F.pmod("_no", F.lit(block_rows))) / block_rows).cast("long"))
     on = F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block"))
     return numbered.join(F.broadcast(slots), on).drop("_source", "_block", "_no")
