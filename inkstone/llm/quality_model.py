@@ -28,7 +28,7 @@ from inkstone.llm._words import SPACED, Words, mix, prefix_hash, powers, slices
 
 BITS = 20
 #: The documented bound of the training sample.
-MOST = 12_000
+MOST = 6_000
 EPOCHS = 3
 _CLASS = np.arange(256, dtype=np.uint8)
 _CLASS[97:123] = _CLASS[128:] = 97
