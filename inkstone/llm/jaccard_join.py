@@ -44,9 +44,9 @@ from inkstone.llm._words import SPACED, Words, mix, slices, trim
 
 GRAM = 5
 #: Different sets that may share a signature before it counts as hot: at most hot^2 / 2 pairs each.
-HOT = 24
+HOT = 12
 #: Sets in a block of those that are compared all with all.
-BLOCK = 512
+BLOCK = 2048
 #: Up to this size (of a band's end) partitions are divided and subsets enumerated.
 SMALL = 40
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
