@@ -9,8 +9,9 @@ r"""Suffix-array dedup (operator 9): remove every byte covered by a 400-byte str
    anchor the furthest extension shared with any other, hence the only window offsets that can repeat;
    the neighbours' common extensions prove them, and offsets that no single neighbour proves are compared
    window by window. Whatever is proved by hashes is compared byte by byte before it counts.
-3. Groups of more than `HOT` anchors never meet in one task: their windows are counted as rows, first by
-   351-byte cores (any repeated window shares one of eight), then each window of the cores that return.
+3. Groups of more than `HOT` anchors never meet in one task: every member is compared with one leader, which
+   settles all windows inside what both share; for the rest it goes on in two narrower groups (see
+   `_follow`), which are sorted, or get leaders of their own, in the next round.
 4. Spans are merged per text.
 
 Equal texts are one text (by MD5); of 400 bytes or more they vanish wholly. Runs with a short period
@@ -29,15 +30,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstone.llm._common import cut, table
+from inkstone.llm._common import cut, release, table
 from inkstone.llm._graph import Sieve
-from inkstone.llm._words import buffers, mix, powers, prefix_hash, slices
+from inkstone.llm._words import buffers, mix, powers, prefix_hash, slices, trim
 
 LENGTH = 400
 GRAM = 50
 REACH = LENGTH - GRAM
 #: Anchors with equal grams that one task may sort together.
-HOT = 20_000
+HOT = 4_000
+#: Leaders of hot groups that are broadcast, at most.
+LEADERS = 64_000
+#: Anchors sorted at a time (whole groups): some MB of arrays.
+PART = 1_024
 _PIECE = 1 << 22
 
 
@@ -184,14 +189,16 @@ class Extensions:
         return (self.s[a + n] - self.s[a]) * self.inv[a] == (self.s[b + n] - self.s[b]) * self.inv[b]
 
     def common(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
-        lo, hi = np.zeros(len(a), np.int64), most.astype(np.int64)
-        while True:
-            open_ = lo < hi
-            if not open_.any():
-                return lo
+        out = most.astype(np.int64)
+        differ = np.flatnonzero(~self.same(a, b, out))
+        a, b = a[differ], b[differ]
+        lo, hi = np.zeros(len(differ), np.int64), out[differ] - 1
+        while len(lo) and int((hi - lo).max()) > 0:
             mid = (lo + hi + 1) >> 1
             ok = self.same(a, b, mid)
-            lo, hi = np.where(ok & open_, mid, lo), np.where(ok | ~open_, hi, mid - 1)
+            lo, hi = np.where(ok, mid, lo), np.where(ok, hi, mid - 1)
+        out[differ] = lo
+        return out
 
     def before(self, a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
         """Is the suffix at a (na bytes) less than the one at b (nb bytes)?"""
@@ -283,12 +290,12 @@ def repeated_spans(
     live = j_lo <= j_hi
     x, y = np.concatenate([x1, x2]), np.concatenate([y1, y2])
     use = live[x] & live[y]
-    x, y = x[use], y[use]
+    x, y = np.unique(np.stack([np.minimum(x, y)[use], np.maximum(x, y)[use]]), axis=1)
     r = fwd.common(at[x], at[y], np.minimum(right_n[x], right_n[y]))
     lf = back.common(rev[x], rev[y], np.minimum(left_n[x], left_n[y]))
     good = r + lf >= length
     x, y, r, lf = x[good], y[good], r[good], lf[good]
-    sure = _equal(data, at[x] - lf, at[y] - lf, r + lf)
+    sure = _equal(ctx, x, y, left[x] - lf, left[y] - lf, r + lf)
     x, y, r, lf = x[sure], y[sure], r[sure], lf[sure]
     member, lo, hi = np.concatenate([x, y]), np.concatenate([-lf, -lf]), np.concatenate([r, r])
     # Offsets that no single neighbour proves.
@@ -308,21 +315,16 @@ def repeated_spans(
         order = np.lexsort((h, j, group[m]))
         m, j, start, h = m[order], j[order], start[order], h[order]
         eq = np.flatnonzero((h[1:] == h[:-1]) & (j[1:] == j[:-1]) & (group[m][1:] == group[m][:-1]))
-        eq = eq[_equal(data, start[eq], start[eq + 1], np.full(len(eq), length))]
+        eq = eq[_equal(ctx, m[eq], m[eq + 1], left[m[eq]] - j[eq], left[m[eq + 1]] - j[eq], np.full(len(eq), length))]
         i = np.unique(np.concatenate([eq, eq + 1]))
         member, lo, hi = np.concatenate([member, m[i]]), np.concatenate([lo, -j[i]]), np.concatenate([hi, length - j[i]])
     return member, lo, hi
 
 
-def _equal(data: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Byte by byte: data[a:a + n] == data[b:b + n]."""
-    out = np.ones(len(a), dtype=bool)
-    for lo in range(0, len(a), 4096):
-        m = n[lo : lo + 4096]
-        i = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
-        differ = data[np.repeat(a[lo : lo + 4096], m) + i] != data[np.repeat(b[lo : lo + 4096], m) + i]
-        out[lo + np.unique(np.repeat(np.arange(len(m)), m)[differ])] = False
-    return out
+def _equal(ctx: list[bytes], x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Byte by byte: ctx[x][a:a + n] == ctx[y][b:b + n]."""
+    rows = zip(x.tolist(), y.tolist(), a.tolist(), b.tolist(), n.tolist(), strict=True)
+    return np.array([ctx[x][a : a + n] == ctx[y][b : b + n] for x, y, a, b, n in rows], dtype=bool)
 
 
 def _merge(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -350,8 +352,8 @@ def _sort_bucket(length: int, gram: int):
         order = order[pair[1:] | pair[:-1]]
         out = [[], [], []]
         at = 0
-        while at < len(order):  # whole groups, some thousand anchors at a time
-            end = min(at + 8192, len(order))
+        while at < len(order):  # whole groups, about PART anchors at a time
+            end = min(at + PART, len(order))
             while end < len(order) and h[order[end]] == h[order[end - 1]]:
                 end += 1
             part = order[at:end]
@@ -364,51 +366,72 @@ def _sort_bucket(length: int, gram: int):
         code = t.column("key").combine_chunks().dictionary_encode()
         code = code.combine_chunks() if isinstance(code, pa.ChunkedArray) else code
         k, lo, hi = _merge(code.indices.to_numpy().astype(np.int64)[who], lo, hi)
+        trim()
         return pa.table({"key": code.dictionary.take(pa.array(k)), "lo": lo, "hi": hi})
 
     return run
 
 
-def _windows(length: int, gram: int, cores: bool):
-    """Hot anchors to rows (w, key, pos, t): hashes of the eight cores, or of the windows of core t."""
-    reach = length - gram
-    step = max(1, reach // 7)
+def _twice(rows: DataFrame, by: str) -> DataFrame:
+    """Values of `by` that stand at two places (key, pos) or more; partial aggregation only."""
+    place = F.struct("key", "pos")
+    return rows.groupBy(by).agg(F.min(place).alias("_a"), F.max(place).alias("_z")).where("_a <> _z").select(by)
+
+
+def _shared(a: bytes, b: bytes) -> int:
+    """Length of the common prefix."""
+    if a == b:
+        return len(a)
+    lo, hi = 0, min(len(a), len(b))
+    if a[:hi] == b[:hi]:
+        return hi
+    while lo < hi - 1:
+        mid = (lo + hi) >> 1
+        lo, hi = (mid, hi) if a[lo:mid] == b[lo:mid] else (lo, mid)
+    return lo
+
+
+def _follow(length: int, gram: int):
+    """Members of hot groups and their leaders to spans (len > 0) and to the two narrower groups they go on in.
+
+    A window that a member does not share with its leader reaches one byte beyond what both share, to the
+    right or to the left. Any other member that has that window differs from the leader at that byte too, so
+    both meet in the group of the core that ends (or begins) there.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], []]
-            b = batch.to_pydict()
-            for i, (h, key, pos, left, ctx) in enumerate(zip(b["h"], b["key"], b["pos"], b["left"], b["ctx"], strict=True)):
-                for t in range(reach // step + 1) if cores else [b["t"][i]]:
-                    for j in [None] if cores else range(t * step, min((t + 1) * step, reach + 1)):
-                        # a core stands in every window whose offset is in t's range
-                        a, z = (left - t * step, left + length - min((t + 1) * step - 1, reach)) if cores else (left - j, left - j + length)
-                        if a < 0 or z > len(ctx):
-                            continue
-                        digest = hashlib.blake2b(ctx[a:z], digest_size=8, key=h.to_bytes(8, "little", signed=True)).digest()
-                        for c, v in zip(out, (int.from_bytes(digest, "little", signed=True), key, pos - (left - a), t), strict=True):
-                            c.append(v)
-            yield pa.record_batch([pa.array(c, ty) for c, ty in zip(out, (pa.int64(), pa.binary(), pa.int64(), pa.int32()), strict=True)], names=["w", "key", "pos", "t"])
+            leaders: set[tuple] = set()
+
+            def add(*row, out=out) -> None:
+                for c, v in zip(out, row, strict=True):
+                    c.append(v)
+
+            names = ("key", "pos", "left", "ctx", "lkey", "lpos", "lleft", "lctx")
+            for key, pos, left, ctx, lkey, lpos, lleft, lctx in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                if (key, pos) == (lkey, lpos):
+                    continue
+                r = _shared(ctx[left:], lctx[lleft:])
+                lf = _shared(ctx[:left][::-1], lctx[:lleft][::-1])
+                if r + lf >= length:
+                    add(0, key, pos - lf, r + lf)
+                    leaders.add((lkey, lpos - lf, r + lf))
+                if left + r < len(ctx) and r < length:
+                    core = b"R" + ctx[left : left + r + 1]
+                    add(int.from_bytes(hashlib.blake2b(core, digest_size=8).digest(), "little", signed=True), key, pos, 0)
+                if lf < left:
+                    core = b"L" + ctx[left - lf - 1 : left + gram]
+                    add(int.from_bytes(hashlib.blake2b(core, digest_size=8).digest(), "little", signed=True), key, pos, 0)
+            for row in leaders:
+                add(0, *row)
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(out, _PLACE_TYPES, strict=True)], names=["h", "key", "pos", "len"])
 
     return run
 
 
-def _twice(rows: DataFrame, by: str) -> DataFrame:
-    """Values of `by` that stand at two places (key, pos) or more; partial aggregation only."""
-    place = F.struct("key", "pos")
-    return rows.groupBy(by).agg(F.min(place).alias("_a"), F.max(place).alias("_z")).where("_a <> _z").select(by)
-
-
-def _hot_spans(hot: DataFrame, length: int, gram: int) -> DataFrame:
-    cols = "w long, key binary, pos long, t int"
-    core = hot.select("h", "key", "pos", "left", "ctx").mapInArrow(_windows(length, gram, True), cols)
-    again = _twice(core.withColumn("wt", F.struct("w", "t")), "wt").select("wt.w", "wt.t")
-    reach = length - gram
-    step = max(1, reach // 7)
-    open_cores = core.join(again, ["w", "t"]).select("key", (F.col("pos") + F.col("t") * step).alias("pos"), "t")
-    todo = hot.join(open_cores, ["key", "pos"]).select("h", "key", "pos", "left", "ctx", "t")
-    window = cut(todo.mapInArrow(_windows(length, gram, False), cols))
-    return window.join(_twice(window, "w"), "w").select("key", F.col("pos").alias("lo"), (F.col("pos") + length).alias("hi"))
+_PLACES = "h long, key binary, pos long, len long"
+_PLACE_TYPES = (pa.int64(), pa.binary(), pa.int64(), pa.int64())
 
 
 def _cut_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -441,39 +464,58 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     keyed = docs.select("doc_id", F.unhex(F.md5(raw)).alias("key"), raw.alias("text"))
     long_ = keyed.where(F.octet_length("text") >= length)
-    found = cut(
-        long_.select("key", "text").mapInArrow(_find(length, gram), "h long, key binary, pos long, len long").distinct()
-    )
-    marks = found.where("len = 0")
-    again = _twice(marks, "h")
-    live = marks.join(again, "h")
-    lists = cut(live.groupBy("key").agg(F.collect_list(F.struct("pos", "h")).alias("at")))  # bounded by a text's length
-
     def texts(keys: DataFrame) -> DataFrame:
         """One row (key, text) for each key."""
         sieve = Sieve(keys.select(F.xxhash64("key").alias("x")), "x")
-        some = long_.withColumn("x", F.xxhash64("key")).where(sieve.column("x")).select("key", "text")
+        some = long_.withColumn("x", F.xxhash64("key")).select("key", "text", *sieve.hashes("x"))
+        some = some.mapInArrow(sieve.before(), "key binary, text binary")
         return some.join(keys, "key").dropDuplicates(["key"])
 
-    ctx = texts(lists).select("key", "text", "at").mapInArrow(
-        _context(length, gram), "h long, key binary, pos long, left int, ctx binary"
-    )
+    def contexts(marks: DataFrame) -> DataFrame:
+        lists = cut(marks.groupBy("key").agg(F.collect_list(F.struct("pos", "h")).alias("at")))  # bounded by a text's length
+        return texts(lists).select("key", "text", "at").mapInArrow(
+            _context(length, gram), "h long, key binary, pos long, left int, ctx binary"
+        )
+
     size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = int(min(max(size // (8 << 20), width), 1 << 22))
-    hot_h = cut(live.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("h"))
-    spans = found.where("len > 0").select("key", F.col("pos").alias("lo"), (F.col("pos") + F.col("len")).alias("hi"))
-    if hot_h.isEmpty():
-        usual = ctx
-    else:
-        usual = ctx.join(F.broadcast(hot_h) if hot_h.count() < 100_000 else hot_h, "h", "left_anti")
-        spans = spans.unionByName(_hot_spans(cut(ctx.join(hot_h, "h", "left_semi")), length, gram))
-    sorted_ = (
-        usual.withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets)))
-        .groupBy("bucket")
-        .applyInArrow(_sort_bucket(length, gram), "key binary, lo long, hi long")
-    )
-    spans = cut(spans.unionByName(sorted_).groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("found")))
+    buckets = int(min(max(size // (4 << 20), width), 1 << 22))
+    found = cut(long_.select("key", "text").mapInArrow(_find(length, gram), _PLACES).distinct())
+    release(spark)
+    spans, marks = found.where("len > 0"), found.where("len = 0").select("h", "key", "pos")
+    seen = None  # hot groups that had their leader
+    while True:
+        groups = cut(_twice(marks, "h").join(marks.groupBy("h").agg(F.count(F.lit(1)).alias("n")), "h"))
+        sorted_ = (
+            contexts(marks.join(groups.where(F.col("n") <= hot).select("h"), "h"))
+            .withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets)))
+            .groupBy("bucket")
+            .applyInArrow(_sort_bucket(length, gram), "key binary, lo long, hi long")
+        )
+        spans = cut(spans.select("key", "pos", "len").unionByName(sorted_.select("key", F.col("lo").alias("pos"), (F.col("hi") - F.col("lo")).alias("len"))))
+        release(spark)
+        hot_h = groups.where(F.col("n") > hot).select("h")
+        if seen is not None:
+            hot_h = hot_h.join(seen, "h", "left_anti")
+        hot_h = cut(hot_h)
+        n_hot = hot_h.count()
+        if not n_hot:
+            break
+        seen = hot_h if seen is None else cut(seen.unionByName(hot_h))
+        members = contexts(marks.join(hot_h, "h"))
+        # The leader: the first member with the context that most members have.
+        usual = members.groupBy("h", F.xxhash64("left", "ctx").alias("c")).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "pos")).alias("l"))
+        lead = cut(usual.groupBy("h").agg(F.max_by("l", F.struct("n", "l")).alias("l")).select("h", "l.key", "l.pos"))
+        lead_ctx = cut(
+            contexts(lead).select("h", F.col("key").alias("lkey"), F.col("pos").alias("lpos"), F.col("left").alias("lleft"), F.col("ctx").alias("lctx"))
+        )
+        # A leader takes less than a kilobyte; beyond 64 MB of them Spark joins by h and splits hot values.
+        joined = members.join(F.broadcast(lead_ctx) if n_hot <= LEADERS else lead_ctx, "h")
+        followed = cut(joined.mapInArrow(_follow(length, gram), _PLACES).distinct())
+        release(spark)
+        spans = spans.unionByName(followed.where("len > 0").select("key", "pos", "len"))
+        marks = followed.where("len = 0").select("h", "key", "pos")
+    spans = cut(spans.groupBy("key").agg(F.collect_list(F.struct(F.col("pos").alias("lo"), (F.col("pos") + F.col("len")).alias("hi"))).alias("found")))
     done = texts(spans).select("key", "text", "found").mapInArrow(
         _cut_text, "key binary, spans array<struct<lo:long,hi:long>>, kept_sha256 string"
     )
