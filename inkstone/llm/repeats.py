@@ -11,7 +11,8 @@ r"""Suffix-array dedup (operator 9): remove every byte covered by a 400-byte str
    window by window. Whatever is proved by hashes is compared byte by byte before it counts.
 3. Groups of more than `HOT` anchors never meet in one task: every member is compared with one leader, which
    settles all windows inside what both share; for the rest it goes on in two narrower groups (see
-   `_follow`), which are sorted, or get leaders of their own, in the next round.
+   `_follow`), which are sorted, or get leaders of their own, in the next round. A group is named by the bytes
+   its members share on both sides of the anchor; these grow with every round, so the rounds end.
 4. Spans are merged per text.
 
 Equal texts are one text (by MD5); of 400 bytes or more they vanish wholly. Runs with a short period
@@ -148,12 +149,12 @@ def _find(length: int, gram: int):
 
 
 def _context(length: int, gram: int):
-    """(key, text, at: list of pos and h) to (h, key, pos, left, ctx)."""
+    """(key, text, at: list of pos, h, a and b) to (h, key, pos, a, b, left, ctx)."""
     reach = length - gram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[] for _ in range(7)]
             held = 0
             for key, text, at in zip(*batch.columns, strict=True):
                 key, raw = key.as_py(), text.as_py()
@@ -162,19 +163,19 @@ def _context(length: int, gram: int):
                     left = min(p, reach)
                     ctx = raw[p - left : p + length]
                     held += len(ctx)
-                    for c, v in zip(out, (x["h"], key, p, left, ctx), strict=True):
+                    for c, v in zip(out, (x["h"], key, p, x["a"], x["b"], left, ctx), strict=True):
                         c.append(v)
                 if held > 4 << 20:
                     yield _batch(out)
-                    out, held = [[], [], [], [], []], 0
+                    out, held = [[] for _ in range(7)], 0
             yield _batch(out)
 
     return run
 
 
 def _batch(out: list[list]) -> pa.RecordBatch:
-    types = (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary())
-    return pa.record_batch([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["h", "key", "pos", "left", "ctx"])
+    types = (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+    return pa.record_batch([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["h", "key", "pos", "a", "b", "left", "ctx"])
 
 
 class Extensions:
@@ -391,41 +392,42 @@ def _shared(a: bytes, b: bytes) -> int:
     return lo
 
 
-def _follow(length: int, gram: int):
+def _follow(length: int):
     """Members of hot groups and their leaders to spans (len > 0) and to the two narrower groups they go on in.
 
-    A window that a member does not share with its leader reaches one byte beyond what both share, to the
+    A group's members share its core: a bytes left and b bytes right of the anchor; windows that are still open
+    cover it. One that a member does not share with its leader reaches one byte beyond what both share, to the
     right or to the left. Any other member that has that window differs from the leader at that byte too, so
-    both meet in the group of the core that ends (or begins) there.
+    both meet in the group of the core that is extended to it and keeps its other side. A core longer than a
+    window lies in none.
     """
+    types = (*_PLACE_TYPES, pa.int32(), pa.int32())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[] for _ in types]
             leaders: set[tuple] = set()
 
             def add(*row, out=out) -> None:
                 for c, v in zip(out, row, strict=True):
                     c.append(v)
 
-            names = ("key", "pos", "left", "ctx", "lkey", "lpos", "lleft", "lctx")
-            for key, pos, left, ctx, lkey, lpos, lleft, lctx in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+            names = ("key", "pos", "a", "b", "left", "ctx", "lkey", "lpos", "lleft", "lctx")
+            for key, pos, a, b, left, ctx, lkey, lpos, lleft, lctx in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
                 if (key, pos) == (lkey, lpos):
                     continue
                 r = _shared(ctx[left:], lctx[lleft:])
                 lf = _shared(ctx[:left][::-1], lctx[:lleft][::-1])
                 if r + lf >= length:
-                    add(0, key, pos - lf, r + lf)
+                    add(0, key, pos - lf, r + lf, 0, 0)
                     leaders.add((lkey, lpos - lf, r + lf))
-                if left + r < len(ctx) and r < length:
-                    core = b"R" + ctx[left : left + r + 1]
-                    add(int.from_bytes(hashlib.blake2b(core, digest_size=8).digest(), "little", signed=True), key, pos, 0)
-                if lf < left:
-                    core = b"L" + ctx[left - lf - 1 : left + gram]
-                    add(int.from_bytes(hashlib.blake2b(core, digest_size=8).digest(), "little", signed=True), key, pos, 0)
+                for x, y in ((a, r + 1), (lf + 1, b)):
+                    if x <= left and left + y <= len(ctx) and x + y <= length:
+                        core = x.to_bytes(4, "little") + ctx[left - x : left + y]
+                        add(int.from_bytes(hashlib.blake2b(core, digest_size=8).digest(), "little", signed=True), key, pos, 0, x, y)
             for row in leaders:
-                add(0, *row)
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(out, _PLACE_TYPES, strict=True)], names=["h", "key", "pos", "len"])
+                add(0, *row, 0, 0)
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["h", "key", "pos", "len", "a", "b"])
 
     return run
 
@@ -472,9 +474,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
         return some.join(keys, "key").dropDuplicates(["key"])
 
     def contexts(marks: DataFrame) -> DataFrame:
-        lists = cut(marks.groupBy("key").agg(F.collect_list(F.struct("pos", "h")).alias("at")))  # bounded by a text's length
+        lists = cut(marks.groupBy("key").agg(F.collect_list(F.struct("pos", "h", "a", "b")).alias("at")))  # bounded by a text's length
         return texts(lists).select("key", "text", "at").mapInArrow(
-            _context(length, gram), "h long, key binary, pos long, left int, ctx binary"
+            _context(length, gram), "h long, key binary, pos long, a int, b int, left int, ctx binary"
         )
 
     size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
@@ -482,8 +484,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     buckets = int(min(max(size // (4 << 20), width), 1 << 22))
     found = cut(long_.select("key", "text").mapInArrow(_find(length, gram), _PLACES).distinct())
     release(spark)
-    spans, marks = found.where("len > 0"), found.where("len = 0").select("h", "key", "pos")
-    seen = None  # hot groups that had their leader
+    spans = found.where("len > 0")
+    marks = found.where("len = 0").select("h", "key", "pos", F.lit(0).alias("a"), F.lit(gram).alias("b"))
     while True:
         groups = cut(_twice(marks, "h").join(marks.groupBy("h").agg(F.count(F.lit(1)).alias("n")), "h"))
         sorted_ = (
@@ -494,27 +496,23 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
         )
         spans = cut(spans.select("key", "pos", "len").unionByName(sorted_.select("key", F.col("lo").alias("pos"), (F.col("hi") - F.col("lo")).alias("len"))))
         release(spark)
-        hot_h = groups.where(F.col("n") > hot).select("h")
-        if seen is not None:
-            hot_h = hot_h.join(seen, "h", "left_anti")
-        hot_h = cut(hot_h)
+        hot_h = cut(groups.where(F.col("n") > hot).select("h"))
         n_hot = hot_h.count()
         if not n_hot:
             break
-        seen = hot_h if seen is None else cut(seen.unionByName(hot_h))
         members = contexts(marks.join(hot_h, "h"))
         # The leader: the first member with the context that most members have.
-        usual = members.groupBy("h", F.xxhash64("left", "ctx").alias("c")).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "pos")).alias("l"))
-        lead = cut(usual.groupBy("h").agg(F.max_by("l", F.struct("n", "l")).alias("l")).select("h", "l.key", "l.pos"))
+        usual = members.groupBy("h", F.xxhash64("left", "ctx").alias("c")).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "pos", "a", "b")).alias("l"))
+        lead = cut(usual.groupBy("h").agg(F.max_by("l", F.struct("n", "l")).alias("l")).select("h", "l.*"))
         lead_ctx = cut(
             contexts(lead).select("h", F.col("key").alias("lkey"), F.col("pos").alias("lpos"), F.col("left").alias("lleft"), F.col("ctx").alias("lctx"))
         )
         # A leader takes less than a kilobyte; beyond 64 MB of them Spark joins by h and splits hot values.
         joined = members.join(F.broadcast(lead_ctx) if n_hot <= LEADERS else lead_ctx, "h")
-        followed = cut(joined.mapInArrow(_follow(length, gram), _PLACES).distinct())
+        followed = cut(joined.mapInArrow(_follow(length), f"{_PLACES}, a int, b int").distinct())
         release(spark)
         spans = spans.unionByName(followed.where("len > 0").select("key", "pos", "len"))
-        marks = followed.where("len = 0").select("h", "key", "pos")
+        marks = followed.where("len = 0").select("h", "key", "pos", "a", "b")
     spans = cut(spans.groupBy("key").agg(F.collect_list(F.struct(F.col("pos").alias("lo"), (F.col("pos") + F.col("len")).alias("hi"))).alias("found")))
     done = texts(spans).select("key", "text", "found").mapInArrow(
         _cut_text, "key binary, spans array<struct<lo:long,hi:long>>, kept_sha256 string"

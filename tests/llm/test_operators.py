@@ -324,6 +324,26 @@ def test_repeats(docs, length, gram, hot):
     assert got == want
 
 
+@pytest.mark.parametrize("levels,alts,n,hot", [(6, 3, 300, 4), (10, 2, 400, 4)])
+def test_repeats_around_one_gram(spark, levels, alts, n, hot):
+    """Members of one hot gram that vary in blocks on both sides reach the same side by several ways."""
+    length, gram = 40, 10
+    rng = random.Random(1)
+    word = lambda k: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(k))
+
+    def gram_hash(w):
+        s = repeats.prefix_hash(np.frombuffer(w.encode(), dtype=np.uint8))
+        return int(repeats.mix(s[gram:] - s[:-gram])[0])
+
+    middle = min((word(gram) for _ in range(4000)), key=gram_hash)  # the anchor of nearly all windows
+    sides = [[[word((length - gram) // levels) for _ in range(alts)] for _ in range(levels)] for _ in range(2)]
+    texts = ["".join(rng.choice(b) for b in sides[0]) + middle + "".join(rng.choice(b) for b in sides[1]) for _ in range(n)]
+    texts = sorted(set(texts))
+    got = repeats.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), length, gram, hot)
+    got = {r.doc_id: (sum(s.hi - s.lo for s in r.spans), len(r.spans), r.kept_sha256) for r in got.collect()}
+    assert got == dict(enumerate(brute_repeats([t.encode() for t in texts], length)))
+
+
 def test_suffix_sort():
     rng = np.random.default_rng(4)
     data = rng.integers(97, 99, 600).astype(np.uint8)
