@@ -8,8 +8,9 @@ slots each source is less than one block away from its target.
 
 Weights default to tempered sizes, rows^`temper` normalised. The schedule goes on until every source has
 been read once: a source whose weight exceeds its share starts over (`epoch` counts from 0), none is cut
-short. The schedule needs only the number of rows of each source; it has at most about `MOST_BLOCKS`
-slots, because block_rows grows with the table, and is joined as a table of that bounded size.
+short. The schedule needs only the number of rows of each source. Blocks have `block_rows` rows at every size
+of the table; the driver writes the schedule in parts of `PART` slots to the checkpoint folder, and it is
+joined as the table read from there (a broadcast up to `FEW` slots, by source and block beyond).
 
 A null source is a source. Equal rows are interchangeable. Empty tables give empty results. Extra columns
 are carried by `mix` and ignored by the query.
@@ -18,17 +19,21 @@ are carried by `mix` and ignored by the query.
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstone.llm._common import gapless, table
+from inkstone.llm._common import cut, gapless, table
 
 BLOCK_ROWS = 16
-MOST_BLOCKS = 200_000
+#: Slots that the driver holds at a time, and slots that are broadcast, at most.
+PART = 100_000
+FEW = 200_000
 TEMPER = 0.8
 
 
@@ -57,32 +62,41 @@ def target_weights(counts: dict, temper: float = TEMPER) -> dict:
     return {s: Fraction(p, whole) for s, p in parts.items()}
 
 
-def schedule(counts: dict, weights: dict, block_rows: int) -> list[tuple]:
+def n_slots(counts: dict, weights: dict, block_rows: int) -> int:
+    """Slots until every source has been read once."""
+    return max((math.ceil(-(-n // block_rows) / weights[s]) for s, n in counts.items()), default=0)
+
+
+def schedule(counts: dict, weights: dict, block_rows: int) -> Iterator[tuple]:
     """(source, block, epoch, release, deadline, position) until every source has been read once."""
     order = sorted(counts, key=lambda s: (s is not None, s or ""))
     blocks = {s: -(-counts[s] // block_rows) for s in order}
-    slots = max((math.ceil(blocks[s] / weights[s]) for s in order), default=0)
-    return [
-        (order[i], j % blocks[order[i]], j // blocks[order[i]], release, deadline, slot)
-        for slot, i, j, release, deadline in pfair([weights[s] for s in order], slots)
-    ]
+    for slot, i, j, release, deadline in pfair([weights[s] for s in order], n_slots(counts, weights, block_rows)):
+        yield order[i], j % blocks[order[i]], j // blocks[order[i]], release, deadline, slot
+
+
+_SLOTS = "_source string, _block long, epoch long, release long, deadline long, position long"
+
+
+def written(spark: SparkSession, plan: Iterator[tuple]) -> DataFrame:
+    """The schedule as a table, written part by part."""
+    parts = [cut(spark.createDataFrame(list(p), _SLOTS)) for p in itertools.batched(plan, PART)]
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], _SLOTS)
 
 
 def mix(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """docs with block, epoch, release, deadline and position (its block's slot), a row for each reading."""
     spark = docs.sparkSession
     counts = {r["source"]: r["n"] for r in docs.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
-    total = sum(counts.values())
-    block_rows = max(block_rows, -(-total // MOST_BLOCKS))
-    plan = schedule(counts, weights or target_weights(counts), block_rows)
-    slots = spark.createDataFrame(
-        plan, "_source string, _block long, epoch long, release long, deadline long, position long"
-    )
+    weights = weights or target_weights(counts)
+    slots = written(spark, schedule(counts, weights, block_rows))
+    if n_slots(counts, weights, block_rows) <= FEW:
+        slots = F.broadcast(slots)
     order = ["doc_id", "_crc"] if "_crc" in docs.columns else ["doc_id"]
     numbered = gapless(docs, order, "_no", within="source", few=len(counts) * 1024 <= 2_000_000)
     numbered = numbered.withColumn("block", ((F.col("_no") - F.pmod("_no", F.lit(block_rows))) / block_rows).cast("long"))
     on = F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block"))
-    return numbered.join(F.broadcast(slots), on).drop("_source", "_block", "_no")
+    return numbered.join(slots, on).drop("_source", "_block", "_no")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -300,6 +300,18 @@ def test_mix_reads_every_row(docs):
     assert first == Counter((r.doc_id, r.source) for r in docs.collect())
 
 
+@pytest.mark.parametrize("limit", ["MOST_BLOCKS", "FEW"])
+def test_mix_blocks_do_not_grow(docs, monkeypatch, limit):
+    rows = docs.select("doc_id", "source", "text")
+    key = lambda out: Counter((r.doc_id, r.source, r.block, r.epoch, r.release, r.deadline, r.position) for r in out.collect())
+    want = key(mixing.mix(rows.drop("text"), block_rows=2))
+    monkeypatch.setattr(mixing, limit, 4, raising=False)
+    monkeypatch.setattr(mixing, "PART", 7, raising=False)
+    got = key(mixing.mix(rows.drop("text"), block_rows=2))
+    assert got == want
+    assert max(Counter((s, b) for (_, s, b, epoch, *_), n in got.items() if epoch == 0 for _ in range(n)).values()) <= 2
+
+
 # --- repeats --------------------------------------------------------------------------------------------
 
 
