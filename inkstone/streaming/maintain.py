@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstone.engine import Engine
@@ -28,18 +31,72 @@ def apply_batch(engine: Engine, index: DataFrame, changes: DataFrame) -> DataFra
     return index.join(keys, "key", "left_anti").unionByName(fresh)
 
 
+class Pointer:
+    """The file `<out>.POINTER`: the last version {v, seq} of an index and the change it is current to."""
+
+    def __init__(self, spark: SparkSession, out: str):
+        self._jvm, self._conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        path = self._jvm.org.apache.hadoop.fs.Path(f"{out.rstrip('/')}.POINTER")
+        self.fs = path.getFileSystem(self._conf)
+        self.path = self.fs.makeQualified(path)
+
+    def read(self) -> dict | None:
+        if not self.fs.exists(self.path):
+            return None
+        stream = self.fs.open(self.path)
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+
+    def write(self, v: int, seq: int) -> None:
+        """Write beside, then rename over the old one."""
+        tmp = self._jvm.org.apache.hadoop.fs.Path(f"{self.path.toString()}.{uuid.uuid4().hex}")
+        out = self.fs.create(tmp, True)
+        try:
+            out.write(bytearray(json.dumps({"v": v, "seq": seq}).encode()))
+            out.hsync()
+        finally:
+            out.close()
+        rename = self._jvm.org.apache.hadoop.fs.Options.Rename
+        how = self._jvm.java.lang.reflect.Array.newInstance(rename.OVERWRITE.getClass(), 1)
+        how[0] = rename.OVERWRITE
+        self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.path.toUri(), self._conf).rename(tmp, self.path, how)
+
+
 def start(engine: Engine, out: str, checkpoint: str):
-    """Stream new change files into versions of an index under `out` (v=<batch>); POINTER names the last one."""
+    """Stream new change files into versions of an index under `out` (v=<n>, from 0); `<out>.POINTER` names the last one.
+
+    A start goes on from there. Where the log's snapshot is newer, or there is no version yet, the index is
+    made from the snapshot, which holds the changes that compaction took out of the log.
+    """
     spark = engine.spark
-    changes = spark.readStream.schema(CHANGE).json(f"{engine.path}/changes")
-    state = {"index": None}
+    changes = spark.readStream.schema(CHANGE).option("ignoreMissingFiles", True).json(f"{engine.path}/changes")
+    pointer = Pointer(spark, out)
+
+    def save(index: DataFrame, seq: int) -> None:
+        last = pointer.read()
+        v = last["v"] + 1 if last else 0
+        index.write.mode("overwrite").parquet(f"{out}/v={v}")
+        pointer.write(v, seq)
+
+    def catch_up() -> None:
+        last = pointer.read()
+        if engine.log.base > (last["seq"] if last else 0):
+            base = engine.log.base
+            save(index_docs(engine.docs(base)), base)
 
     def step(batch: DataFrame, number: int) -> None:
-        base = state["index"]
-        if base is None:
-            base = spark.createDataFrame([], index_docs(engine.docs()).schema)
-        path = f"{out}/v={number}"
-        apply_batch(engine, base, batch).write.mode("overwrite").parquet(path)
-        state["index"] = spark.read.parquet(path)
+        catch_up()
+        last = pointer.read()
+        if last:
+            index = spark.read.parquet(f"{out}/v={last['v']}")
+        else:
+            index = spark.createDataFrame([], index_docs(engine.docs()).schema)
+        new = batch.where(F.col("seq") > engine.log.base)
+        seq = new.agg(F.max("seq")).first()[0]
+        if seq is not None:
+            save(apply_batch(engine, index, new), max(seq, last["seq"] if last else 0))
 
+    catch_up()
     return changes.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).start()

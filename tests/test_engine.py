@@ -167,6 +167,29 @@ def test_streamed_upkeep_equals_rebuild(engine, tmp_path):
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
 
 
+def test_streamed_upkeep_after_restart_and_compaction(engine, tmp_path):
+    from inkstone.streaming.maintain import start
+
+    def upkeep(name):
+        q = start(engine, str(tmp_path / name), str(tmp_path / f"{name}-cp"))
+        q.processAllAvailable()
+        q.stop()
+        versions = sorted((tmp_path / name).iterdir(), key=lambda p: int(p.name[2:]))
+        got, want = engine.spark.read.parquet(str(versions[-1])), index_docs(engine.docs())
+        assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+    upkeep("ix")
+    engine.mutate([["upsertRubbing", {**OPS[0][1], "code": "TP-元-999"}]])
+    upkeep("ix")  # a restart
+    engine.mutate([["deleteDamage", "d2"]])
+    engine.log.compact()
+    upkeep("ix")  # the last change stands in the snapshot alone
+    upkeep("new")
+    engine.mutate([["upsertRubbing", {**OPS[0][1], "code": "TP-元-998"}]])
+    upkeep("ix")
+    upkeep("new")
+
+
 def test_small_parsers():
     assert parse_kinds("Rubbings, 批次, what") == ["batch", "rubbing"] and parse_kinds("what") is None
     assert [clamp_page_size(x) for x in (None, "x", 0, -1, 0.5, 7.9, 1000)] == [20, 20, 20, 20, 20, 7, 100]
