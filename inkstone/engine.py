@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import logging
 import re
 import threading
 import time
@@ -13,12 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstone.operators import relational as rel
-from inkstone.operators.search import SearchQuery, clamp_page_size, decode_cursor, encode_cursor, ordered, page, present, search
-from inkstone.plans.docs import build_docs, field_dictionary, index_docs, postings
-from inkstone.schema import KINDS
+from inkstone.operators.search import SearchIndex, SearchQuery, clamp_page_size, decode_cursor, encode_cursor, ordered, present
+from inkstone.plans.docs import affected_keys, build_docs, field_dictionary, postings
+from inkstone.schema import KIND_LABELS, KINDS
 from inkstone.sources.log import ChangeLog
 
 SESSION_SECONDS = 600
+#: The public routes.
 ROUTES = [
     "GET /health", "GET /rubbings", "POST /rubbings", "GET /rubbings/:id/damages", "POST /rubbings/:id/damages", "GET /damages",
     "PATCH /damages/:id", "GET /batches", "POST /batches", "GET /batches/:id", "POST /batches/:id/complete",
@@ -31,6 +34,19 @@ class ApiError(Exception):
         self.status = status
 
 
+def parse_body(body: dict | str | bytes | None) -> dict:
+    """A JSON body as a dict; an empty one is {}."""
+    if body is None or isinstance(body, dict):
+        return body or {}
+    try:
+        out = json.loads(body) if body.strip() else {}
+    except ValueError as e:
+        raise ApiError(400, "the body is not JSON") from e
+    if not isinstance(out, dict):
+        raise ApiError(400, "the body is not a JSON object")
+    return out
+
+
 @dataclass
 class Session:
     """What a pagination session holds: its size does not depend on the number of hits."""
@@ -50,8 +66,9 @@ class Engine:
         self.log = ChangeLog(spark, path)
         self.path = self.log.path
         self.sessions: dict[str, Session] = {}
-        self.generation = 1
-        self._views: dict[int, DataFrame] = {}
+        text = self.log.folder.read("INDEX")
+        self.generation = json.loads(text)["generation"] if text else 1
+        self._view: tuple[int, SearchIndex] | None = None
         self._rebuilding = threading.Lock()
         self._cancel = threading.Event()
 
@@ -61,6 +78,14 @@ class Engine:
         if legacy:
             engine.log.import_archive(legacy)
         engine.log.recover()
+        if engine.log.needs_compaction():
+            engine.log.compact()
+        engine.vacuum()
+        if engine.published() is None:
+            try:
+                engine.rebuild()
+            except Exception:  # the archive can be read and written without an index
+                logging.getLogger(__name__).exception("the first index was not built")
         return engine
 
     def __enter__(self) -> Engine:
@@ -70,11 +95,15 @@ class Engine:
         self.close()
 
     def close(self) -> None:
-        for df in self._views.values():
-            df.unpersist()
-        self._views.clear()
+        self._forget()
         self.sessions.clear()
 
+    def _forget(self) -> None:
+        if self._view:
+            self._view[1].docs.unpersist()
+            self._view[1].dictionary.unpersist()
+        self._view = None
+
     # --- views ------------------------------------------------------------------------------------
 
     def records(self, kind: str, seq: int | None = None) -> DataFrame:
@@ -85,20 +114,64 @@ class Engine:
         tables = [self.log.table(k, seq).drop("_seq", "_sub") for k in KINDS]
         return build_docs(*tables)
 
-    def view(self, seq: int) -> DataFrame:
-        """The indexed docs as of seq, kept while a session or the present needs them."""
-        if seq not in self._views:
-            self._views[seq] = index_docs(self.docs(seq)).cache()
-        needed = {s.seq for s in self.sessions.values()} | {self.log.seq, seq}
-        for old in [s for s in self._views if s not in needed]:
-            self._views.pop(old).unpersist()
-        return self._views[seq]
+    def published(self) -> int | None:
+        """The seq of the index generation that counts, if its history is still there."""
+        text = self.log.folder.read("INDEX")
+        seq = json.loads(text)["seq"] if text else None
+        return seq if seq is not None and self.log.base <= seq <= self.log.seq else None
+
+    def _index(self, seq: int) -> SearchIndex:
+        """The index as of seq: the published generation with the docs that later changes touch made anew, or all docs."""
+        base = self.published()
+        if base is None or base > seq:
+            docs = self.docs(seq)
+            return SearchIndex(docs, field_dictionary(docs))
+        path = f"{self.path}/index/seq={base}"
+        docs, values = self.spark.read.parquet(f"{path}/docs"), self.spark.read.parquet(f"{path}/dictionary")
+        if base < seq:
+            fresh = self.docs(seq).join(self.touched(base, seq), "key", "left_semi")
+            docs = docs.join(self.touched(base, seq), "key", "left_anti").unionByName(fresh)
+            more = field_dictionary(fresh)
+            values = values.unionByName(more.join(values, ["field", "raw"], "left_anti"))
+        return SearchIndex(docs, values)
+
+    def touched(self, after: int, upto: int) -> DataFrame:
+        """Keys of the docs that the changes in (after, upto] touch."""
+        changes = self.log.changes().where(F.col("seq").between(after + 1, upto))
+        return affected_keys(changes, self.log.table("damage", upto))
+
+    def view(self, seq: int) -> SearchIndex:
+        """The index as of seq. The present one is kept in memory; a session's older one is planned from files each time."""
+        if seq != self.log.seq:
+            return self._index(seq)
+        if self._view is None or self._view[0] != seq:
+            self._forget()
+            index = self._index(seq)
+            self._view = seq, SearchIndex(index.docs.cache(), index.dictionary.cache())
+        return self._view[1]
+
+    def floor(self) -> int:
+        """The oldest seq that an open session or the present reads."""
+        return min([self.log.seq, *(s.seq for s in self.sessions.values())])
+
+    def vacuum(self) -> list[str]:
+        """Drop index generations that nothing reads any more; returns their names."""
+        if self._rebuilding.locked():
+            return []
+        keep = {f"seq={self.published()}", f"seq={self.log.seq}"}  # one of the present seq may be half built
+        gone = [n for n in self.log.folder.names("index") if n not in keep]
+        for n in gone:
+            self.log.folder.remove(f"index/{n}")
+        return gone
 
     def mutate(self, ops: list) -> int:
         seq = self.log.append(ops)
-        # Compaction would cut off the history that open sessions read.
-        if not self.sessions and self.log.needs_compaction():
-            self.log.compact()
+        if self.log.needs_compaction() and self.floor() > self.log.base:
+            # Only history that no open session reads goes.
+            self.log.compact(self.floor())
+            if self.log.folder.exists("INDEX") and self.published() is None and not self._rebuilding.locked():
+                self.rebuild()
+                self.vacuum()
         return seq
 
     # --- search -----------------------------------------------------------------------------------
@@ -106,7 +179,7 @@ class Engine:
     def search(self, **params) -> DataFrame:
         """All hits on current data, in order."""
         try:
-            return present(ordered(search(self.view(self.log.seq), SearchQuery.from_params(params))))
+            return present(ordered(self.view(self.log.seq).search(SearchQuery.from_params(params))))
         except ValueError as e:
             raise ApiError(400, str(e)) from e
 
@@ -124,22 +197,13 @@ class Engine:
             self.sessions[session.id] = session
         try:
             at = decode_cursor(cursor)
-            hits = search(self.view(session.seq), session.query)
+            rows, total, start = self.view(session.seq).page(session.query, size, at)
         except ValueError as e:
             raise ApiError(400, str(e)) from e
-        if session.total is None:
-            session.total = hits.count()
-        rows = page(hits, size, at).collect()
+        session.total = total
         more, rows = len(rows) > size, rows[:size]
-        start = 0
-        if at is not None:
-            start = session.total - hits.where(_after(at)).count()
-        shown = {(r["kind"], r["id"]): r for r in present(self.spark.createDataFrame(rows, hits.schema)).collect()} if rows else {}
-        data = []
-        for r in rows:
-            hit = shown[r["kind"], r["id"]].asDict(recursive=True)
-            hit["record"] = self._record(r["kind"], r["id"], session.seq)
-            data.append(hit)
+        records = self._records_of(rows, session.seq)
+        data = [{**_shown(r), "record": records.get((r["kind"], r["id"]))} for r in rows]
         return {
             "data": data,
             "total": session.total,
@@ -156,9 +220,12 @@ class Engine:
             "sessionCreated": created,
         }
 
-    def _record(self, kind: str, id_: str, seq: int) -> dict | None:
-        row = self.log.table(kind, seq).drop("_seq", "_sub").where(F.col("id") == id_).first()
-        return row.asDict(recursive=True) if row else None
+    def _records_of(self, rows: list[dict], seq: int) -> dict[tuple[str, str], dict]:
+        """The records of a page's hits (at most a page of them), folded from their own changes only."""
+        if not rows:
+            return {}
+        found = self.log.state(seq, ids=sorted({r["id"] for r in rows})).select("kind", "id", "payload").collect()
+        return {(r["kind"], r["id"]): {f.name: json.loads(r["payload"]).get(f.name) for f in KINDS[r["kind"]]} for r in found}
 
     def sweep(self) -> None:
         for k in [k for k, s in self.sessions.items() if s.expires <= self.clock()]:
@@ -178,23 +245,26 @@ class Engine:
             raise ApiError(409, "the index is being rebuilt")
         try:
             seq = self.log.seq
-            base = f"{self.path}/index/seq={seq}"
+            name_ = f"index/seq={seq}"
+            base = f"{self.path}/{name_}"
             resumed, done = False, 0
             docs = self.docs(seq)
-            sections = {"docs": lambda: index_docs(docs), "dictionary": lambda: field_dictionary(docs), "postings": lambda: postings(docs)}
+            read = lambda name: self.spark.read.parquet(f"{base}/{name}")
+            sections = {"docs": lambda: docs, "dictionary": lambda: field_dictionary(read("docs")), "postings": lambda: postings(read("docs"), read("dictionary"))}
             for name, make in sections.items():
                 if self._cancel.is_set():
                     return {"paused": True, "resumed": resumed, "done": done, "generation": self.generation}
-                complete = self.log.fs.exists(self.log._Path(f"{base}/{name}/_SUCCESS"))
+                complete = self.log.folder.exists(f"{name_}/{name}/_SUCCESS")
                 resumed = resumed or complete
                 if not complete:
                     make().write.mode("overwrite").parquet(f"{base}/{name}")
                 done += 1
                 if progress:
                     progress({"done": done, "total": len(sections)})
-            self.log._replace("INDEX", str(seq))
+            # Changes written meanwhile have a later seq: a reader applies them to this generation (`_index`).
             self.generation += 1
-            self._views[seq] = self.spark.read.parquet(f"{base}/docs").cache()
+            self.log.folder.replace("INDEX", json.dumps({"seq": seq, "generation": self.generation}))
+            self._forget()
             return {"paused": False, "resumed": resumed, "done": done, "generation": self.generation}
         finally:
             self._cancel.clear()
@@ -230,10 +300,10 @@ class Engine:
             raise ApiError(400, f"missing: {', '.join(missing)}")
 
     def _one(self, kind: str, id_: str) -> dict:
-        row = self.records(kind).where(F.col("id") == id_).first()
+        row = self.log.state(kind=kind, ids=[id_]).select(F.from_json("payload", KINDS[kind]).alias("r")).first()
         if row is None:
             raise ApiError(404, f"no such {kind}: {id_}")
-        return row.asDict(recursive=True)
+        return row["r"].asDict(recursive=True)
 
     def list_parents(self) -> DataFrame:
         p, c = self.log.table("rubbing"), self.records("damage")
@@ -310,9 +380,9 @@ class Engine:
         self.mutate(ops)
         return self.get_batch(batch_id)
 
-    def handle(self, method: str, target: str, params: dict | None = None, body: dict | None = None):
-        """Dispatch a route to its method; unknown ones raise ApiError 404."""
-        body, params = body or {}, params or {}
+    def handle(self, method: str, target: str, params: dict | None = None, body: dict | str | bytes | None = None):
+        """Dispatch a route to its method; unknown ones raise ApiError 404, a body that is not a JSON object 400."""
+        body, params = parse_body(body), params or {}
         rows = lambda df: {"data": [r.asDict(recursive=True) for r in df.collect()]}
         table = [
             ("GET", r"/health", lambda: self.health()),
@@ -337,7 +407,8 @@ class Engine:
         raise ApiError(404, f"no such route; there are {ROUTES}")
 
 
-def _after(cursor: dict):
-    from inkstone.operators.search import after
-
-    return after(cursor)
+def _shown(hit: dict) -> dict:
+    """The columns of a hit as it is shown."""
+    names = ("kind", "id", "code", "source", "damageType", "name", "createdAt", "score", "matchedReasons")
+    parent = {"id": hit["rubbingId"], "code": hit["code"], "source": hit["source"]} if hit["parent"] else None
+    return {**{n: hit[n] for n in names}, "kindLabel": KIND_LABELS[hit["kind"]], "rubbing": parent}

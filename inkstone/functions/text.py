@@ -104,7 +104,9 @@ def window(n: Column, q: str) -> Column:
         ).otherwise(F.array().cast("array<string>"))
 
     near = F.flatten(F.array(*[pieces(size) for size in range(max(2, len(q) - 1), len(q) + 2)]))
-    return F.get(F.filter(near, lambda w: F.levenshtein(w, lit, 1) >= 0), F.lit(0))
+    # One edit leaves one half of q as it is.
+    half = len(q) // 2
+    return F.when(n.contains(q[:half]) | n.contains(q[half:]), F.get(F.filter(near, lambda w: F.levenshtein(w, lit, 1) >= 0), F.lit(0)))
 
 
 def instant(c: Column) -> Column:

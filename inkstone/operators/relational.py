@@ -21,19 +21,20 @@ def parent_counts(parents: DataFrame, children: DataFrame) -> DataFrame:
 def enrich_batches(batches: DataFrame, children: DataFrame) -> DataFrame:
     """Batches with their members in order (duplicates kept, unknown ids left out) and counts."""
     member = F.struct(*[F.col(f"d.{c}").alias(c) for c in children.columns])
+    done = F.col("d.status").eqNullSafe(F.lit("repaired"))
     lists = (
         batches.select(F.col("id").alias("_b"), F.posexplode("damageIds").alias("pos", "damageId"))
         .join(children.alias("d"), F.col("damageId") == F.col("d.id"))
         .groupBy("_b")
-        .agg(F.array_sort(F.collect_list(F.struct("pos", member.alias("d")))).alias("l"))
-        .select("_b", F.transform("l", lambda x: x["d"]).alias("damages"))
+        .agg(
+            F.array_sort(F.collect_list(F.struct("pos", member.alias("d")))).alias("l"),
+            F.count(F.lit(1)).cast("int").alias("total"),
+            F.count_if(done).cast("int").alias("repaired"),
+        )
+        .select("_b", F.transform("l", lambda x: x["d"]).alias("damages"), "total", "repaired")
     )
-    done = lambda d: d["status"].eqNullSafe(F.lit("repaired"))
-    out = batches.join(lists, F.col("id") == F.col("_b"), "left").drop("_b")
-    n, r = F.coalesce(F.size("damages"), F.lit(0)), F.size(F.filter("damages", done))
-    return out.withColumns(
-        {"total": F.when(F.col("damages").isNull(), 0).otherwise(n), "repaired": F.when(F.col("damages").isNull(), 0).otherwise(r)}
-    ).withColumn("pending", F.col("total") - F.col("repaired"))
+    out = batches.join(lists, F.col("id") == F.col("_b"), "left").drop("_b").na.fill(0, ["total", "repaired"])
+    return out.withColumn("pending", F.col("total") - F.col("repaired"))
 
 
 def filter_children(children: DataFrame, status: str | None = None, type_: str | None = None) -> DataFrame:

@@ -1,4 +1,9 @@
-"""The search: predicates, gate, score, explanations, total order and keyset pages over an indexed doc table."""
+"""The search: predicates, gate, score, explanations, total order and keyset pages over docs and their dictionary.
+
+A doc matches by its fields' values, so gate and match are worked out once for each distinct value (`values_for`).
+`search` joins them to the docs, as one lazy plan at any size. `SearchIndex.page` is the interactive path: while
+few values matter it takes them as sets, and one pass over the docs gives the page, its place and the total.
+"""
 
 from __future__ import annotations
 
@@ -8,16 +13,22 @@ import math
 from dataclasses import dataclass
 from datetime import UTC, datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from inkstone.functions.text import instant, norm_text, segment_grams, window
+from inkstone.plans.docs import field_dictionary
 from inkstone.schema import FIELD_LABELS, FIELDS, KIND_LABELS, WEIGHTS
 
+#: Values that the interactive path takes to the driver, at most; with more it joins.
+FEW_VALUES = 20_000
+#: Names of kinds, and the words of an explanation.
 _KIND_NAMES = {
     "rubbing": "rubbing", "rubbings": "rubbing", "拓片": "rubbing", "damage": "damage", "damages": "damage", "缺损项": "damage",
     "batch": "batch", "batches": "batch", "批次": "batch", "修补批次": "batch",
 }
+_LEAD, _FREE_LEAD, _FREE_NEAR = "命中", "关键词命中", "关键词近似命中"
+_APART = ("（与「", "」相差 1 字，已按错一个字容错）")
 ORDER = (F.desc, "score"), (F.asc, "createdAt"), (F.asc, "code"), (F.asc, "id"), (F.asc, "kind")
 
 
@@ -68,35 +79,32 @@ class SearchQuery:
         return [(f, v) for f in ("code", "source", "damageType") if (v := getattr(self, f)) and v.strip()]
 
 
-def gate(normalised: str, fields: tuple[str, ...]) -> Column:
-    """Every segment of the query has one of its grams in one of the fields."""
-    out = F.lit(True)
-    for grams in segment_grams(normalised):
-        wanted = F.array(*map(F.lit, grams))
-        any_ = F.lit(False)
-        for f in fields:
-            any_ = any_ | F.coalesce(F.arrays_overlap(f"g_{f}", wanted), F.lit(False))
-        out = out & any_
-    return out
-
-
-def field_match(field: str, q: str) -> Column:
-    """struct(score, ord, field, distance, window) of one field, null where it does not match."""
-    n, w = F.col(f"n_{field}"), WEIGHTS[field] * 10
-
-    def hit(score: int, distance: int, piece: Column) -> Column:
-        return F.struct(
-            F.lit(score).alias("score"), F.lit(-FIELDS.index(field)).alias("ord"), F.lit(field).alias("field"),
-            F.lit(distance).alias("distance"), piece.alias("window"),
-        )
-
-    near = F.transform(F.array(window(n, q)), lambda p: F.when(p.isNotNull(), hit(w - 10, 1, p)))[0]
-    exact = F.when(n == q, hit(w + 20, 0, F.lit(q))).when(n.contains(q), hit(w + 8, 0, F.lit(q)))
-    return exact if len(q) < 2 else exact.when(n.isNotNull(), near)
+def values_for(dictionary: DataFrame, q: str, fields: tuple[str, ...]) -> DataFrame:
+    """(field, raw, bonus, distance, window, hits) of the values that matter for a normalised query.
+
+    bonus is null where the value does not match; hits are the numbers of the segments that it has a gram of.
+    """
+    n = F.col("norm")
+    hits = [F.when(F.arrays_overlap("grams", F.array(*map(F.lit, grams))), F.lit(i)) for i, grams in enumerate(segment_grams(q))]
+    out = dictionary.where(F.col("field").isin(list(fields))).select(
+        "field",
+        "raw",
+        F.when(n == q, 20).when(n.contains(q), 8).alias("exact"),
+        (F.array_compact(F.array(*hits)) if hits else F.array().cast("array<int>")).alias("hits"),
+        F.when(~n.contains(q), window(n, q)).alias("near"),
+    )
+    return out.where("exact IS NOT NULL OR near IS NOT NULL OR size(hits) > 0").select(
+        "field",
+        "raw",
+        F.coalesce("exact", F.when(F.col("near").isNotNull(), -10)).alias("bonus"),
+        F.when(F.col("exact").isNotNull(), 0).otherwise(1).alias("distance"),
+        F.coalesce(F.when(F.col("exact").isNotNull(), q), F.col("near")).alias("window"),
+        "hits",
+    )
 
 
 def _reason(m: Column, raw: str, lead: str, near: str, label: Column) -> Column:
-    apart = F.concat(F.lit(near), label, F.lit("（与「"), m["window"], F.lit("」相差 1 字，已按错一个字容错）"))
+    apart = F.concat(F.lit(near), label, F.lit(_APART[0]), m["window"], F.lit(_APART[1]))
     return F.struct(
         label.alias("field"), F.lit(raw).alias("query"), F.when(m["distance"] == 0, "exact").otherwise("fuzzy").alias("match"),
         m["distance"].alias("distance"), F.when(m["distance"] == 0, F.concat(F.lit(lead), label)).otherwise(apart).alias("detail"),
@@ -108,28 +116,68 @@ def label_of(field: Column) -> Column:
     return F.coalesce(F.element_at(table, field), field)
 
 
-def search(index: DataFrame, query: SearchQuery) -> DataFrame:
-    """Rows of an indexed doc table that match, with score and reasons (unordered; see `ordered`)."""
-    spark: SparkSession = index.sparkSession
-    out = index
+def gated(docs: DataFrame, q: str, dictionary: DataFrame | None = None) -> DataFrame:
+    """Docs of which every segment of a normalised query has a gram in some field."""
+    values = values_for(field_dictionary(docs) if dictionary is None else dictionary, q, FIELDS).where(F.size("hits") > 0)
+    return _gate(_with_values(docs, values, lambda f: [F.col("hits").alias(f"_h_{f}")]), q).drop(*[f"_h_{f}" for f in FIELDS])
+
+
+def _with_values(docs: DataFrame, values: DataFrame, columns) -> DataFrame:
+    """docs with the columns of its own value of each field, null where that value does not matter."""
+    for f in FIELDS:
+        own = values.where(F.col("field") == f).select(F.col("raw").alias("_r"), *columns(f))
+        docs = docs.join(own, F.col(f) == F.col("_r"), "left").drop("_r")
+    return docs
+
+
+def _gate(docs: DataFrame, q: str) -> DataFrame:
+    nothing = F.array().cast("array<int>")
+    seen = F.array_distinct(F.flatten(F.array(*[F.coalesce(f"_h_{f}", nothing) for f in FIELDS])))
+    return docs.where(F.size(seen) == len(segment_grams(q)))
+
+
+def narrowed(docs: DataFrame, query: SearchQuery) -> DataFrame:
+    """Docs of the kinds and in the range that a query asks for."""
     kinds = parse_kinds(query.kind)
     if kinds:
-        out = out.where(F.col("kind").isin(kinds))
+        docs = docs.where(F.col("kind").isin(kinds))
     lo, hi = parse_instant(query.dateFrom), parse_instant(query.dateTo)
     if lo is not None:
-        out = out.where(instant(F.col("createdAt")) >= F.lit(lo))
+        docs = docs.where(instant(F.col("createdAt")) >= F.lit(lo))
     if hi is not None:
-        out = out.where(instant(F.col("createdAt")) <= F.lit(hi))
-    matches: list[tuple[str, str, str, str, Column]] = []
-    for i, (field, raw) in enumerate(query.fields()):
-        q = norm_text(spark, raw)
-        out = out.where(gate(q, (field,))).withColumn(f"_m{i}", field_match(field, q)).where(F.col(f"_m{i}").isNotNull())
-        matches.append((f"_m{i}", raw, "命中", "命中", F.lit(FIELD_LABELS[field])))
+        docs = docs.where(instant(F.col("createdAt")) <= F.lit(hi))
+    return docs
+
+
+def search(docs: DataFrame, query: SearchQuery, dictionary: DataFrame | None = None) -> DataFrame:
+    """Docs that match, with score and reasons (unordered; see `ordered`).
+
+    Without a dictionary the distinct values of the fields that the query looks at are derived from the docs.
+    """
+    spark: SparkSession = docs.sparkSession
+    out = narrowed(docs, query)
+    source = out
+    asked = [(f, raw, norm_text(spark, raw)) for f, raw in query.fields()]
     free = norm_text(spark, query.q)
+    matches: list[tuple[str, str, str, str, Column]] = []
+    for i, (field, raw, q) in enumerate(asked):
+        values = values_for(field_dictionary(source, (field,)) if dictionary is None else dictionary, q, (field,))
+        full = values.where((F.size("hits") == len(segment_grams(q))) & F.col("bonus").isNotNull())
+        m = F.struct((F.col("bonus") + WEIGHTS[field] * 10).alias("score"), "distance", "window")
+        out = out.join(full.select(F.col("raw").alias(f"_r{i}"), m.alias(f"_m{i}")), F.col(field) == F.col(f"_r{i}")).drop(f"_r{i}")
+        matches.append((f"_m{i}", raw, _LEAD, _LEAD, F.lit(FIELD_LABELS[field])))
     if free:
-        best = F.array_max(F.array_compact(F.array(*[field_match(f, free) for f in FIELDS])))
-        out = out.where(gate(free, FIELDS)).withColumn("_free", best).where(F.col("_free").isNotNull())
-        matches.append(("_free", query.q, "关键词命中", "关键词近似命中", label_of(F.col("_free.field"))))
+        values = values_for(field_dictionary(source) if dictionary is None else dictionary, free, FIELDS)
+
+        def columns(f: str) -> list[Column]:
+            score = (F.col("bonus") + WEIGHTS[f] * 10).alias("score")
+            m = F.struct(score, F.lit(-FIELDS.index(f)).alias("ord"), F.lit(f).alias("field"), "distance", "window")
+            return [F.col("hits").alias(f"_h_{f}"), F.when(F.col("bonus").isNotNull(), m).alias(f"_m_{f}")]
+
+        best = F.array_max(F.array_compact(F.array(*[F.col(f"_m_{f}") for f in FIELDS])))
+        out = _gate(_with_values(out, values, columns), free).withColumn("_free", best).where(F.col("_free").isNotNull())
+        out = out.drop(*[f"_{c}_{f}" for f in FIELDS for c in "hm"])
+        matches.append(("_free", query.q, _FREE_LEAD, _FREE_NEAR, label_of(F.col("_free.field"))))
     score = sum((F.col(f"{m[0]}.score") for m in matches), F.lit(0))
     reasons = F.array(*[_reason(F.col(m), raw, lead, near, label) for m, raw, lead, near, label in matches])
     if not matches:
@@ -137,6 +185,96 @@ def search(index: DataFrame, query: SearchQuery) -> DataFrame:
     return out.withColumns({"score": score, "matchedReasons": reasons}).drop(*[m[0] for m in matches])
 
 
+def _in(field: str, values: list[str]) -> Column:
+    quoted = ", ".join("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values)
+    return F.expr(f"{field} IN ({quoted})") if values else F.lit(False)
+
+
+class SearchIndex:
+    """Docs and their dictionary (both kept by the caller: cached, or tables of a generation)."""
+
+    def __init__(self, docs: DataFrame, dictionary: DataFrame):
+        self.docs, self.dictionary = docs, dictionary
+        self.spark = docs.sparkSession
+
+    def search(self, query: SearchQuery) -> DataFrame:
+        return search(self.docs, query, self.dictionary)
+
+    def _conditions(self, query: SearchQuery) -> list[tuple] | None:
+        """(query text, normal form, free?, {(field, raw): value row}) of each condition; None where more values matter than a driver takes."""
+        asked = [(raw, norm_text(self.spark, raw), (f,)) for f, raw in query.fields()]
+        free = norm_text(self.spark, query.q)
+        asked += [(query.q, free, FIELDS)] if free else []
+        out = []
+        for raw, q, fields in asked:
+            values = values_for(self.dictionary, q, fields)
+            n, free_ = len(segment_grams(q)), fields == FIELDS
+            if not free_:
+                values = values.where(F.col("bonus").isNotNull() & (F.size("hits") == n))
+            rows = values.limit(FEW_VALUES + 1).toArrow().to_pylist()
+            if len(rows) > FEW_VALUES:
+                return None
+            if free_:
+                rows = _useful(rows, n)
+            out.append((raw, q, free_, {(r["field"], r["raw"]): r for r in rows}))
+        return out
+
+    def _scored(self, query: SearchQuery, conditions: list[tuple]) -> DataFrame:
+        out, total = narrowed(self.docs, query), F.lit(0)
+        for _, q, free, rows in conditions:
+            scores = []
+            for f in FIELDS:
+                by: dict[int, list[str]] = {}
+                for (field, raw), r in rows.items():
+                    if field == f and r["bonus"] is not None:
+                        by.setdefault(WEIGHTS[f] * 10 + r["bonus"], []).append(raw)
+                one = F.lit(None).cast("int")
+                for s in sorted(by):
+                    one = F.when(_in(f, by[s]), F.lit(s)).otherwise(one)
+                scores += [one] if by else []
+            best = scores[0] if len(scores) == 1 else F.greatest(*scores) if scores else F.lit(None).cast("int")
+            out = out.where(best.isNotNull())
+            if free:
+                full = {i for r in rows.values() if r["bonus"] is not None and len(r["hits"]) < len(segment_grams(q)) for i in range(len(segment_grams(q)))}
+                for i in sorted(full):  # only where some matching value lacks a segment
+                    has = [_in(f, [raw for (field, raw), r in rows.items() if field == f and i in r["hits"]]) for f in FIELDS]
+                    out = out.where(has[0] | has[1] | has[2] | has[3] | has[4])
+            total = total + best
+        return out.withColumn("score", total)
+
+    def page(self, query: SearchQuery, size: int, cursor: dict | None = None) -> tuple[list[dict], int, int]:
+        """(rows of the page and one more, hits in all, hits before the page), in at most one job for each condition and one for the page."""
+        conditions = self._conditions(query)
+        hits = self.search(query) if conditions is None else self._scored(query, conditions)
+        seen = Observation()
+        before = F.count_if(~after(cursor)) if cursor else F.lit(0).cast("long")
+        counted = hits.observe(seen, F.count(F.lit(1)).alias("n"), (before if cursor else F.max(before)).alias("before"))
+        rows = [r.asDict(recursive=True) for r in page(counted, size, cursor).collect()]
+        if conditions is not None:
+            for r in rows:
+                r["matchedReasons"] = [_explained(r, *c) for c in conditions]
+        return rows, seen.get["n"], seen.get["before"] or 0
+
+
+def _useful(rows: list[dict], n: int) -> list[dict]:
+    """Without matching values whose missing segments no value of another field has."""
+    having: dict[int, set] = {i: {r["field"] for r in rows if i in r["hits"]} for i in range(n)}
+    rows = [r for r in rows if r["bonus"] is None or all(i in r["hits"] or having[i] - {r["field"]} for i in range(n))]
+    if all(len(r["hits"]) == n for r in rows if r["bonus"] is not None):
+        rows = [r for r in rows if r["bonus"] is not None]
+    return rows
+
+
+def _explained(row: dict, raw: str, q: str, free: bool, values: dict) -> dict:
+    """The reason of one condition: that of the field that scores best, the earlier one of equals."""
+    found = [(values[f, row[f]], f) for f in FIELDS if (f, row[f]) in values and values[f, row[f]]["bonus"] is not None]
+    r, f = max(found, key=lambda x: (WEIGHTS[x[1]] * 10 + x[0]["bonus"], -FIELDS.index(x[1])))
+    label, exact = FIELD_LABELS[f], r["distance"] == 0
+    lead = _FREE_LEAD if free else _LEAD
+    detail = lead + label if exact else f"{_FREE_NEAR if free else _LEAD}{label}{_APART[0]}{r['window']}{_APART[1]}"
+    return {"field": label, "query": raw, "match": "exact" if exact else "fuzzy", "distance": r["distance"], "detail": detail}
+
+
 def ordered(hits: DataFrame) -> DataFrame:
     """Score descending, then createdAt, code, id and kind ascending."""
     return hits.orderBy(*[f(c) for f, c in ORDER])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkstone.functions.text import norm, tokens
+from inkstone.operators.relational import cascade_keys
 from inkstone.schema import FIELDS
 
 
@@ -46,21 +47,23 @@ def doc_fields(docs: DataFrame) -> DataFrame:
     return docs.select("key", F.explode(F.filter(fields, lambda x: x["raw"] != "")).alias("f")).select("key", "f.*")
 
 
-def index_docs(docs: DataFrame) -> DataFrame:
-    """docs with n_<field> (normalised, null where the field is empty) and g_<field> (its grams)."""
-    spark = docs.sparkSession
-    out = docs.withColumns({f"n_{f}": F.when(F.col(f) != "", norm(spark, F.col(f))) for f in FIELDS})
-    return out.withColumns({f"g_{f}": tokens(F.col(f"n_{f}")) for f in FIELDS})
+def affected_keys(changes: DataFrame, children: DataFrame) -> DataFrame:
+    """Doc keys that changes touch: their own, and the children of parents that they upsert or delete."""
+    own = changes.select(F.concat_ws(":", "kind", "id").alias("key"))
+    parents = changes.where("kind = 'rubbing'").select("id").distinct()
+    return own.unionByName(cascade_keys(children, parents).select(F.concat(F.lit("damage:"), "id").alias("key"))).distinct()
 
 
-def field_dictionary(docs: DataFrame) -> DataFrame:
-    """Distinct raw values with their normal form and grams, derived once each."""
-    raw = doc_fields(docs).select("raw").distinct().withColumn("norm", norm(docs.sparkSession, F.col("raw")))
+def field_dictionary(docs: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """Distinct values (field, raw) with their normal form and grams, derived once for each raw value of a field."""
+    pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("raw")) for f in fields])
+    raw = docs.select(F.explode(F.filter(pairs, lambda x: x["raw"] != "")).alias("f")).select("f.*").distinct()
+    raw = raw.withColumn("norm", norm(docs.sparkSession, F.col("raw")))
     return raw.withColumn("grams", tokens(F.col("norm")))
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """(gram, field, key), each once."""
-    return (
-        doc_fields(docs).join(field_dictionary(docs), "raw").select(F.explode("grams").alias("gram"), "field", "key").distinct()
-    )
+def postings(docs: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
+    """(gram, field, key), each once (docs may repeat a key)."""
+    values = field_dictionary(docs) if dictionary is None else dictionary
+    joined = doc_fields(docs).join(values.select("field", "raw", "grams"), ["field", "raw"])
+    return joined.select(F.explode("grams").alias("gram"), "field", "key").distinct()

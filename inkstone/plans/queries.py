@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from inkstone.functions import text as X
 from inkstone.operators import relational as rel
-from inkstone.operators.search import SearchQuery, after, ordered, page, search
-from inkstone.plans.docs import build_docs, index_docs, postings
+from inkstone.operators.search import SearchQuery, after, gated, ordered, page, search
+from inkstone.plans.docs import build_docs, postings
 from inkstone.schema import FIELDS, WEIGHTS
 
 _NORM = r"regexp_replace(lower({}), '[\s\p{{Z}}\p{{P}}\p{{S}}]', '', 'g')"
@@ -84,7 +84,7 @@ _COMBINED = {"code": "1-URGENT", "source": "BUILDING", "kind": "damages,rubbings
 
 
 def _combined(spark: SparkSession, d: str) -> DataFrame:
-    return search(index_docs(docs(spark, d)), SearchQuery.from_params(_COMBINED)).select(*_HIT)
+    return search(docs(spark, d), SearchQuery.from_params(_COMBINED)).select(*_HIT)
 
 
 _COMBINED_SQL = f"""hits AS (SELECT kind, id, code, createdAt,
@@ -121,18 +121,16 @@ def _fuzzy(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _field_exact(spark: SparkSession, d: str) -> DataFrame:
-    return search(index_docs(docs(spark, d)), SearchQuery(source="building")).select(*_HIT)
+    return search(docs(spark, d), SearchQuery(source="building")).select(*_HIT)
 
 
 def _free(spark: SparkSession, d: str) -> DataFrame:
-    out = search(index_docs(docs(spark, d)), SearchQuery(q="pending"))
+    out = search(docs(spark, d), SearchQuery(q="pending"))
     return out.select(*_HIT, F.col("matchedReasons")[0]["match"].alias("match"))
 
 
 def _gate(spark: SparkSession, d: str) -> DataFrame:
-    from inkstone.operators.search import gate
-
-    return index_docs(docs(spark, d)).where(gate("1urgent", FIELDS)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    return gated(docs(spark, d), "1urgent").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _postings(spark: SparkSession, d: str) -> DataFrame:
@@ -140,17 +138,17 @@ def _postings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _dates(spark: SparkSession, d: str) -> DataFrame:
-    return search(index_docs(docs(spark, d)), SearchQuery(dateFrom="1996-01-01", dateTo="1996-06-30")).select("kind", "id", "createdAt")
+    return search(docs(spark, d), SearchQuery(dateFrom="1996-01-01", dateTo="1996-06-30")).select("kind", "id", "createdAt")
 
 
 def _kinds(spark: SparkSession, d: str) -> DataFrame:
-    return search(index_docs(docs(spark, d)), SearchQuery(kind="批次, RUBBINGS, unknown")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    return search(docs(spark, d), SearchQuery(kind="批次, RUBBINGS, unknown")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _keyset(spark: SparkSession, d: str) -> DataFrame:
     hits = _combined(spark, d)
-    offset = hits.where(~after(_cursor())).count()
-    return page(hits, 20, _cursor()).withColumn("page_index", F.lit(offset // 20 + 1).cast("long"))
+    before = hits.agg(F.count_if(~after(_cursor()))).scalar()
+    return page(hits, 20, _cursor()).withColumn("page_index", F.floor(before / 20).cast("long") + 1)
 
 
 def _counts(spark: SparkSession, d: str) -> DataFrame:

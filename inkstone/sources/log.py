@@ -2,19 +2,24 @@
 
 Layout under a folder that every executor sees: `changes/seq=<n>-*.jsonl` (a commit is one file), `snapshot/v=<seq>/`
 (a table of live records), `quarantine/` (lines that could not be read), `CURRENT` (the snapshot that
-counts, replaced by rename). Files are written and renamed through Hadoop's file system API.
+counts, replaced in one step by an overwriting rename).
+
+An upsert sets the top-level fields that its payload holds and leaves the others of the live record as they
+are; a delete drops the record, so a later upsert begins anew.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import threading
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstone.schema import ARCHIVE, CHANGE, KINDS, LISTS, SNAPSHOT
+from inkstone.sources.files import Folder
 
 _ACTIONS = {f"{a}{k.capitalize()}": (k, a) for a in ("upsert", "delete") for k in KINDS}
 COMPACT_AT = 2000
@@ -33,47 +38,46 @@ def flatten_ops(op: list) -> list[tuple[str, str, str, str | None]]:
     return [(kind, action, payload["id"], json.dumps(payload, ensure_ascii=False))]
 
 
+def merged(payloads: Column) -> Column:
+    """One JSON object from an array of them: each field from the last that holds it, fields in order of name."""
+    fields = F.transform(
+        payloads, lambda p: F.transform_values(F.coalesce(F.from_json(p, "map<string,variant>"), F.create_map().cast("map<string,variant>")), lambda _, v: F.coalesce(F.to_json(v), F.lit("null")))
+    )
+    empty = F.create_map().cast("map<string,string>")
+    last = F.aggregate(fields, empty, lambda m, x: F.map_concat(F.map_filter(m, lambda k, _: ~F.map_contains_key(x, k)), x))
+    entries = F.array_sort(F.map_entries(last))
+
+    def pair(e: Column) -> Column:
+        quoted = F.to_json(F.array(e["key"]))
+        return F.concat(quoted.substr(F.lit(2), F.length(quoted) - 2), F.lit(":"), e["value"])
+
+    return F.concat(F.lit("{"), F.array_join(F.transform(entries, pair), ","), F.lit("}"))
+
+
+def fold_payloads(rows: DataFrame) -> DataFrame:
+    """Live records from rows (kind, id, payload, first_seq, first_sub, seq, sub, action): merged payloads since the last delete."""
+    at = F.struct("seq", "sub")
+    deaths = rows.where("action = 'delete'").groupBy("kind", "id").agg(F.max(at).alias("dead"))
+    alive = rows.join(deaths, ["kind", "id"], "left").where("action = 'upsert' AND (dead IS NULL OR struct(seq, sub) > dead)")
+    one = alive.groupBy("kind", "id").agg(
+        F.array_sort(F.collect_list(F.struct("seq", "sub", "payload"))).alias("l"),
+        F.min(F.struct(F.coalesce("first_seq", "seq").alias("s"), F.coalesce("first_sub", "sub").alias("b"))).alias("f"),
+    )
+    payload = F.when(F.size("l") == 1, F.col("l")[0]["payload"]).otherwise(merged(F.transform("l", lambda x: x["payload"])))
+    return one.select("kind", "id", payload.alias("payload"), F.col("f.s").alias("first_seq"), F.col("f.b").alias("first_sub"))
+
+
 class ChangeLog:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark._jvm
-        self._Path = jvm.org.apache.hadoop.fs.Path
-        self.fs = self._Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+        self.folder = Folder(spark, self.path)
         self._lock = threading.RLock()
-        self.fs.mkdirs(self._Path(f"{self.path}/changes"))
-        self.base, self.seq = 0, 0
-        current = self._read("CURRENT")
-        if current:
-            self.base = self.seq = int(current)
-        last = self.changes().agg(F.max("seq")).first()[0]
-        self.seq = max(self.seq, last or 0)
-
-    # --- files ------------------------------------------------------------------------------------
-
-    def _read(self, name: str) -> str | None:
-        p = self._Path(f"{self.path}/{name}")
-        if not self.fs.exists(p):
-            return None
-        stream = self.fs.open(p)
-        try:
-            return bytes(stream.readAllBytes()).decode()
-        finally:
-            stream.close()
-
-    def _replace(self, name: str, content: str) -> None:
-        """Write beside, then rename into place."""
-        tmp, to = self._Path(f"{self.path}/.{name.replace('/', '_')}.{uuid.uuid4().hex}"), self._Path(f"{self.path}/{name}")
-        out = self.fs.create(tmp, True)
-        try:
-            out.write(bytearray(content.encode()))
-            out.hsync()
-        finally:
-            out.close()
-        self.fs.mkdirs(to.getParent())
-        if self.fs.exists(to):
-            self.fs.delete(to, False)
-        if not self.fs.rename(tmp, to):
-            raise OSError(f"cannot replace {name}")
+        self.folder.fs.mkdirs(self.folder.path("changes"))
+        current = self.folder.read("CURRENT")
+        self.base = self.seq = int(current) if current else 0
+        # The one count of the log's lines; appends keep it up.
+        at = self.lines().agg(F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("good"), F.col("seq"))).alias("seq")).first()
+        self.n_lines, self.seq = at["n"], max(self.seq, at["seq"] or 0)
 
     # --- reading ----------------------------------------------------------------------------------
 
@@ -104,25 +108,27 @@ class ChangeLog:
             return self.spark.createDataFrame([], "kind string, id string, payload string, first_seq long, first_sub int")
         return self.spark.read.parquet(f"{self.path}/snapshot/v={self.base}")
 
-    def state(self, seq: int | None = None) -> DataFrame:
-        """Live records (kind, id, payload, first_seq, first_sub) as of seq; first_*: where a record entered, its listing order."""
+    def state(self, seq: int | None = None, kind: str | None = None, ids: list[str] | None = None) -> DataFrame:
+        """Live records (kind, id, payload, first_seq, first_sub) as of seq; first_*: where a record entered, its listing order.
+
+        Only those of a kind, or of given ids, if asked for: others are left out before anything is folded. A
+        record's changes since the last snapshot are merged in one row; compaction bounds how many there are.
+        """
         if seq is not None and seq < self.base:
             raise ValueError(f"history before {self.base} has been compacted")
+
+        def wanted(rows: DataFrame) -> DataFrame:
+            rows = rows if kind is None else rows.where(F.col("kind") == kind)
+            return rows if ids is None else rows.where(F.col("id").isin(ids))
+
         changes = self.changes() if seq is None else self.changes().where(F.col("seq") <= seq)
-        old = self._snapshot().select("kind", "id", "payload", "first_seq", "first_sub", F.col("first_seq").alias("seq"), F.lit(-1).alias("sub"), F.lit("upsert").alias("action"))
-        new = changes.select("kind", "id", "payload", F.lit(None).cast("long").alias("first_seq"), F.lit(None).cast("int").alias("first_sub"), "seq", "sub", "action")
-        at = F.struct("seq", "sub")
-        both = old.unionByName(new)
-        deaths = both.where("action = 'delete'").groupBy("kind", "id").agg(F.max(at).alias("dead"))
-        alive = both.join(deaths, ["kind", "id"], "left").where("action = 'upsert' AND (dead IS NULL OR struct(seq, sub) > dead)")
-        return alive.groupBy("kind", "id").agg(
-            F.max_by("payload", at).alias("payload"),
-            F.min(F.struct(F.coalesce("first_seq", "seq").alias("s"), F.coalesce("first_sub", "sub").alias("b"))).alias("f"),
-        ).select("kind", "id", "payload", F.col("f.s").alias("first_seq"), F.col("f.b").alias("first_sub"))
+        old = wanted(self._snapshot()).select("kind", "id", "payload", "first_seq", "first_sub", F.col("first_seq").alias("seq"), F.lit(-1).alias("sub"), F.lit("upsert").alias("action"))
+        new = wanted(changes).select("kind", "id", "payload", F.lit(None).cast("long").alias("first_seq"), F.lit(None).cast("int").alias("first_sub"), "seq", "sub", "action")
+        return fold_payloads(old.unionByName(new))
 
     def table(self, kind: str, seq: int | None = None) -> DataFrame:
         """Records of a kind in insertion order columns (_seq, _sub last)."""
-        rows = self.state(seq).where(F.col("kind") == kind)
+        rows = self.state(seq, kind)
         return rows.select(F.from_json("payload", KINDS[kind]).alias("r"), F.col("first_seq").alias("_seq"), F.col("first_sub").alias("_sub")).select("r.*", "_seq", "_sub")
 
     # --- writing ----------------------------------------------------------------------------------
@@ -138,8 +144,8 @@ class ChangeLog:
             seq = self.seq + 1
             names = ("kind", "action", "id", "payload")
             lines = [json.dumps({"seq": seq, "sub": i, **dict(zip(names, r, strict=True))}, ensure_ascii=False) for i, r in enumerate(rows)]
-            self._replace(f"changes/seq={seq:012d}-{uuid.uuid4().hex}.jsonl", "\n".join(lines) + "\n")
-            self.seq = seq
+            self.folder.replace(f"changes/seq={seq:012d}-{uuid.uuid4().hex}.jsonl", "\n".join(lines) + "\n")
+            self.seq, self.n_lines = seq, self.n_lines + len(lines)
             return seq
 
     def recover(self) -> int:
@@ -153,19 +159,30 @@ class ChangeLog:
             return n
 
     def needs_compaction(self) -> bool:
-        return self.lines().count() >= COMPACT_AT
+        return self.n_lines >= COMPACT_AT
+
+    def compact(self, upto: int | None = None) -> int:
+        """Fold the changes up to a seq (all of them, if none is given) into a new snapshot, make it current, then drop them.
 
-    def compact(self) -> int:
-        """Fold into a new snapshot, make it current, then drop the changes it holds."""
+        A snapshot that is current is never written again; the one before it stays for readers that have
+        planned with it. Lost halfway, either the old snapshot counts, or changes that the new one holds are
+        ignored by their seq.
+        """
         with self._lock:
-            seq = max(self.seq, 1)
-            self.state().write.mode("overwrite").parquet(f"{self.path}/snapshot/v={seq}")
-            old = [f.getPath() for f in self.fs.listStatus(self._Path(f"{self.path}/changes"))]
-            self._replace("CURRENT", str(seq))
-            self.base = self.seq = seq
-            for p in old:
-                self.fs.delete(p, False)
-            return seq
+            seq, before = max(self.seq if upto is None else min(upto, self.seq), 1), self.base
+            if seq > before:
+                self.state(seq).write.mode("overwrite").parquet(f"{self.path}/snapshot/v={seq}")
+                self.folder.replace("CURRENT", str(seq))
+                self.base, self.seq = seq, max(self.seq, seq)
+            for name in self.folder.names("changes"):
+                at = re.match(r"seq=(\d+)-", name)
+                if upto is None or (at and int(at[1]) <= seq):
+                    self.folder.remove(f"changes/{name}")
+            self.n_lines = 0 if upto is None else self.lines().count()
+            for name in self.folder.names("snapshot"):
+                if name not in (f"v={self.base}", f"v={before}"):
+                    self.folder.remove(f"snapshot/{name}")
+            return self.base
 
     def import_archive(self, file: str) -> int:
         """A snapshot file {version, seq, data} or a legacy {rubbings, damages, batches}; only into an empty log."""
@@ -187,9 +204,10 @@ class ChangeLog:
             out = parts[0]
             for p in parts[1:]:
                 out = out.unionByName(p)
-            out.write.mode("overwrite").parquet(f"{self.path}/snapshot/v=1")
-            self._replace("CURRENT", "1")
-            self.base = self.seq = 1
+            seq = max(raw.agg(F.max("seq")).first()[0] or 1, 1)  # a snapshot file says where it stands
+            out.write.mode("overwrite").parquet(f"{self.path}/snapshot/v={seq}")
+            self.folder.replace("CURRENT", str(seq))
+            self.base = self.seq = seq
             return self.seq
 
 
