@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,16 +17,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df once to the shared checkpoint folder and read on from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables that the driver and all executors see: the session's `spark.checkpoint.dir`.
 
-    The folder is the session's `spark.checkpoint.dir`; one is set here only where none is (local
-    tests). The files are replicated by the shared store, so a lost executor costs nothing.
+    Where none is set, a local session (tests) gets one of its own; on a cluster that is an error, since a
+    machine's own temporary folder would lose data with its executor.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="inkstone-checkpoint-"))
+    sc = spark.sparkContext
+    known = sc._jsc.sc().getCheckpointDir()
+    if known.isDefined():
+        return known.get()
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        configured = tempfile.mkdtemp(prefix="inkstone-checkpoint-")
+    sc.setCheckpointDir(configured)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df once to the shared folder and read on from there: a lost executor costs nothing."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -35,31 +48,41 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def gapless(df: DataFrame, order: list[str], name: str, within: str | None = None, buckets: int = 1024, few: bool = False) -> DataFrame:
+def buckets_for(rows: int) -> int:
+    """Buckets of about a million rows each, 1,024 at least."""
+    return max(1024, 1 << max(rows - 1, 0).bit_length() >> 20)
+
+
+def gapless(df: DataFrame, order: list[str], name: str, within: str | None = None, buckets: int = 1024) -> DataFrame:
     """Number rows 0, 1, 2, ... over the table (or in each value of `within`) without one global sort.
 
     Rows go to `buckets` hash buckets of the `order` columns, are ranked inside each bucket, and each
     bucket starts at the sum of the buckets before it. The number depends on the rows alone, not on
     the partitioning; only rows equal in all of `order` may swap numbers. A hot value of `within` is
-    spread over all buckets. The table of starts has at most buckets x distinct(within) rows; say `few` where
-    that is known to be small enough to broadcast (always so without `within`).
+    spread over all buckets. The table of starts has at most buckets x distinct(within) rows; it is broadcast
+    only without `within`. A column that has the new name already is replaced.
     """
-    keys = [within] if within else []
-    b = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    keys = ["_k"] if within else []
+    rest = [c for c in df.columns if c != name]
+    orders = [f"_o{i}" for i in range(len(order))]
+    # All of df goes in one struct, so that no name of its columns clashes.
+    b = df.select(
+        F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_row"),
+        *[F.col(f"`{c}`").alias(o) for c, o in zip(order, orders, strict=True)],
+        *([F.col(f"`{within}`").alias("_k")] if within else []),
+    ).withColumn("_bucket", F.pmod(F.xxhash64(*orders), F.lit(buckets)).cast("int"))
     starts = (
         b.groupBy(*keys, "_bucket")
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_start", F.sum("_n").over(_before(keys)) - F.col("_n"))
-        .select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_bucket").alias("_b"), "_start")
+        .select(*[F.col(k).alias(f"_s{k}") for k in keys], F.col("_bucket").alias("_b"), "_start")
     )
-    ranked = b.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*order)))
+    ranked = b.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*orders)))
     on: Column = F.col("_bucket") == F.col("_b")
     for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    return (
-        ranked.join(F.broadcast(starts) if few or not within else starts, on)
-        .withColumn(name, F.col("_start") + F.col("_rank") - 1)
-        .drop("_bucket", "_b", "_start", "_rank", *[f"_k_{k}" for k in keys])
+        on = on & F.col(k).eqNullSafe(F.col(f"_s{k}"))
+    return ranked.join(starts if within else F.broadcast(starts), on).select(
+        *[F.col(f"_row.`{c}`").alias(c) for c in rest], (F.col("_start") + F.col("_rank") - 1).alias(name)
     )
 
 

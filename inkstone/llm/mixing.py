@@ -6,34 +6,35 @@ floor(j / w) and due at ceil((j + 1) / w); one block runs in each slot, the rele
 deadline first. Since the weights add up to 1, every block runs inside its window, so after any number of
 slots each source is less than one block away from its target.
 
+Weights are whole parts of `parts` (2^16; each source has one part at least, which can make the whole a
+little larger). After `whole` slots every source has had exactly its parts of them, so the schedule repeats:
+the driver works out one period (at most 2^16 slots and one for each source), and block j of a source with p
+parts runs in slot (j div p) * whole + slot(j mod p). That is a join with a table whose size does not depend on
+the documents; blocks have `block_rows` rows at every size of the table.
+
 Weights default to tempered sizes, rows^`temper` normalised. The schedule goes on until every source has
 been read once: a source whose weight exceeds its share starts over (`epoch` counts from 0), none is cut
-short. The schedule needs only the number of rows of each source. Blocks have `block_rows` rows at every size
-of the table; the driver writes the schedule in parts of `PART` slots to the checkpoint folder, and it is
-joined as the table read from there (a broadcast up to `FEW` slots, by source and block beyond).
+short. The driver holds one row for each source.
 
-A null source is a source. Equal rows are interchangeable. Empty tables give empty results. Extra columns
-are carried by `mix` and ignored by the query.
+A null source is a source. Texts are not looked at. Equal rows are interchangeable. Empty tables give empty
+results. Extra columns are carried by `mix`, whatever their names; those called block, epoch, release, deadline or
+position are replaced by its own. The query ignores them.
 """
 
 from __future__ import annotations
 
 import heapq
-import itertools
 import math
 from collections.abc import Iterator
 from fractions import Fraction
-from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstone.llm._common import cut, gapless, table
+from inkstone.llm._common import buckets_for, gapless, table
 
 BLOCK_ROWS = 16
-#: Slots that the driver holds at a time, and slots that are broadcast, at most.
-PART = 100_000
-FEW = 200_000
+PARTS = 1 << 16
 TEMPER = 0.8
 
 
@@ -51,52 +52,70 @@ def pfair(weights: list[Fraction], slots: int) -> Iterator[tuple[int, int, int,
         heapq.heappush(waiting, (math.floor((j + 1) / weights[i]), i, j + 1))
 
 
-def target_weights(counts: dict, temper: float = TEMPER) -> dict:
-    """Exact weights that add up to 1, in parts of 2^20."""
-    if not counts:
-        return {}
-    raw = {s: n**temper for s, n in counts.items()}
+def target_parts(counts: dict, weights: dict | None = None, temper: float = TEMPER, parts: int = PARTS) -> dict:
+    """Whole parts of each source, in proportion to its weight (by default its tempered size)."""
+    raw = {s: float(weights[s]) if weights else n**temper for s, n in counts.items()}
     total = sum(raw.values())
-    parts = {s: max(1, round(r / total * (1 << 20))) for s, r in raw.items()}
-    whole = sum(parts.values())
-    return {s: Fraction(p, whole) for s, p in parts.items()}
+    return {s: max(1, round(r / total * parts)) for s, r in raw.items()}
 
 
-def n_slots(counts: dict, weights: dict, block_rows: int) -> int:
+def n_slots(counts: dict, parts: dict, block_rows: int) -> int:
     """Slots until every source has been read once."""
-    return max((math.ceil(-(-n // block_rows) / weights[s]) for s, n in counts.items()), default=0)
-
+    whole = sum(parts.values())
+    return max((-(-(-(-n // block_rows)) * whole // parts[s]) for s, n in counts.items()), default=0)
 
-def schedule(counts: dict, weights: dict, block_rows: int) -> Iterator[tuple]:
-    """(source, block, epoch, release, deadline, position) until every source has been read once."""
-    order = sorted(counts, key=lambda s: (s is not None, s or ""))
-    blocks = {s: -(-counts[s] // block_rows) for s in order}
-    for slot, i, j, release, deadline in pfair([weights[s] for s in order], n_slots(counts, weights, block_rows)):
-        yield order[i], j % blocks[order[i]], j // blocks[order[i]], release, deadline, slot
 
+def period(parts: dict, slots: int) -> list[tuple]:
+    """(source, number, slot, release, deadline) of the first `slots` slots of a period, at most all of them."""
+    order = sorted(parts, key=lambda s: (s is not None, s or ""))
+    whole = sum(parts.values())
+    plan = pfair([Fraction(parts[s], whole) for s in order], min(slots, whole))
+    return [(order[i], j, slot, release, deadline) for slot, i, j, release, deadline in plan]
 
-_SLOTS = "_source string, _block long, epoch long, release long, deadline long, position long"
 
+def readings(rows: list[tuple], parts: dict, slots: int) -> dict:
+    """How many blocks of each source run in the first `slots` slots."""
+    whole = sum(parts.values())
+    out = {s: slots // whole * p for s, p in parts.items()}
+    for source, _, slot, _, _ in rows:
+        out[source] += slot < slots % whole
+    return out
 
-def written(spark: SparkSession, plan: Iterator[tuple]) -> DataFrame:
-    """The schedule as a table, written part by part."""
-    parts = [cut(spark.createDataFrame(list(p), _SLOTS)) for p in itertools.batched(plan, PART)]
-    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], _SLOTS)
 
+def mix(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_ROWS, order: list[Column] | None = None) -> DataFrame:
+    """docs with block, epoch, release, deadline and position (its block's slot), a row for each reading.
 
-def mix(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """docs with block, epoch, release, deadline and position (its block's slot), a row for each reading."""
+    `order` (by default doc_id) decides which rows share a block; rows equal in it may swap places.
+    """
     spark = docs.sparkSession
-    counts = {r["source"]: r["n"] for r in docs.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
-    weights = weights or target_weights(counts)
-    slots = written(spark, schedule(counts, weights, block_rows))
-    if n_slots(counts, weights, block_rows) <= FEW:
-        slots = F.broadcast(slots)
-    order = ["doc_id", "_crc"] if "_crc" in docs.columns else ["doc_id"]
-    numbered = gapless(docs, order, "_no", within="source", few=len(counts) * 1024 <= 2_000_000)
-    numbered = numbered.withColumn("block", ((F.col("_no") - F.pmod("_no", F.lit(block_rows))) / block_rows).cast("long"))
-    on = F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block"))
-    return numbered.join(slots, on).drop("_source", "_block", "_no")
+    own = ("block", "epoch", "release", "deadline", "position")
+    carried = [c for c in docs.columns if c not in own]
+    counts = {r["s"]: r["n"] for r in docs.groupBy(F.col("source").alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    parts = target_parts(counts, weights)
+    whole, slots = sum(parts.values()), n_slots(counts, parts, block_rows)
+    rows = period(parts, slots)
+    total = readings(rows, parts, slots)
+    plan = spark.createDataFrame(rows, "s string, j long, slot long, release long, deadline long")
+    sources = spark.createDataFrame(
+        [(s, parts[s], -(-n // block_rows), total[s]) for s, n in counts.items()], "s string, parts long, blocks long, readings long"
+    )
+    # All of docs goes in one struct, so that no name of its columns clashes.
+    keys = order or [F.col("doc_id")]
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in carried]).alias("row"), F.col("source").alias("source"), *[k.alias(f"key{i}") for i, k in enumerate(keys)])
+    numbered = gapless(packed, [f"key{i}" for i in range(len(keys))], "no", within="source", buckets=buckets_for(max(counts.values(), default=0)))
+    numbered = numbered.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    block = ((F.col("no") - F.pmod("no", F.lit(block_rows))) / block_rows).cast("long")
+    numbered = numbered.withColumn("block", block)
+    # Reading number block + epoch * blocks of its source, as far as the schedule goes.
+    last = F.floor((F.col("readings") - 1 - F.col("block")) / F.col("blocks")).cast("long")
+    read = numbered.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    number = F.col("block") + F.col("epoch") * F.col("blocks")
+    read = read.withColumn("j", F.pmod(number, F.col("parts"))).withColumn("before", ((number - F.col("j")) / F.col("parts")).cast("long") * whole)
+    plan = plan.select(F.col("s"), F.col("j").alias("k"), "slot", "release", "deadline")
+    out = read.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("s")) & (F.col("j") == F.col("k")))
+    return out.select(
+        *[F.col(f"row.`{c}`").alias(c) for c in carried], "block", "epoch", *[(F.col("before") + F.col(c)).alias(n) for c, n in (("release", "release"), ("deadline", "deadline"), ("slot", "position"))]
+    )
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

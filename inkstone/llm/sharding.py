@@ -6,8 +6,9 @@ The image y gives `shard = y mod k` and `slot = y div k`: shard sizes differ by
 have no gaps, and both directions are closed formulas of (n, k, seed) (`place`, `row_of`).
 
 Everything is DataFrame functions. Nulls: a null text has size 16 and CRC 0; a null doc_id is numbered
-like any value. Equal rows are interchangeable. An empty table gives an empty result. Extra columns are
-ignored (`place_rows` carries those asked for).
+like any value. Empty texts have size 16 too; very long ones are only measured and never moved. Equal rows
+are interchangeable. An empty table gives an empty result. Extra columns are ignored (`place_rows` carries
+those asked for, whatever their names but row_no, shard and slot).
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstone.llm._common import cut, gapless, table
+from inkstone.llm._common import buckets_for, cut, gapless, table
 
 ROUNDS = 6
 
@@ -98,14 +99,14 @@ def row_of(shard: Column, slot: Column, n: int, shards: int, seed: int, extra: i
     return walk(slot.cast("long") * shards + shard, n, seed, extra, inverse=True)
 
 
-def place_rows(df: DataFrame, order: list[str], shards: int, seed: int = 17, buckets: int = 1024) -> DataFrame:
+def place_rows(df: DataFrame, order: list[str], shards: int, seed: int = 17, buckets: int | None = None) -> DataFrame:
     """df (narrow: it is written once to the shared folder) with `row_no`, `shard` and `slot`."""
     if shards < 1:
         raise ValueError("shards must be at least 1")
     kept = cut(df)
     n = kept.count()
     extra = extra_steps(df.sparkSession, n, seed) if n else 0
-    numbered = gapless(kept, order, "row_no", buckets=buckets)
+    numbered = gapless(kept, order, "row_no", buckets=buckets or buckets_for(n))
     return numbered.withColumn("_p", place(F.col("row_no"), max(n, 1), shards, seed, extra)).select(
         *df.columns, "row_no", F.col("_p.shard").alias("shard"), F.col("_p.slot").alias("slot")
     )
