@@ -1,10 +1,10 @@
 r"""Chat formatting (operator 5): budgeted, turn-aligned windows with a loss mask.
 
 Each conversation's turns are measured in tokens; prefix sums of them choose spans of whole turns: a window
-takes turns while the sum stays within `budget`. The first system turn of a conversation is repeated at the
-head of every later window, followed by up to `history` tokens of the turns before the span, both without
-loss; assistant turns inside the span itself bear the loss, so each is a target exactly once. A turn larger
-than the budget gets a window of its own.
+takes turns while the sum stays within `budget`. The first system turn of a conversation, wherever it stands,
+is repeated at the head of every window after its own, followed by up to `history` tokens of the turns before
+the span, both without loss; assistant turns inside the span itself bear the loss, so each is a target exactly
+once. A turn that with the system turn is larger than the budget gets a window of its own.
 
     <turn "user">
     text
@@ -13,10 +13,10 @@ than the budget gets a window of its own.
 Control strings inside a text (`<turn`, `</turn`, `###`) and backslashes are escaped with a backslash, roles
 are JSON strings: `parse` gives back exactly what went in.
 
-Rows are sorted by conversation and turn and streamed: state is one window, never a conversation. Null
-texts and roles count as empty; a null turn comes first, ties are ordered by role and text; rows with a
-null conv_id are one conversation. Repeated rows are turns like any other. Extra columns are ignored; an
-empty table gives none.
+Rows are sorted by conversation and turn and streamed: state is one window, never a conversation; a very
+long text is one turn and must fit in a task. Null texts and roles count as empty; a null turn comes first,
+ties are ordered by role and text; rows with a null conv_id are one conversation. Repeated rows are turns like
+any other. Extra columns are ignored, whatever their names; an empty table gives no windows.
 """
 
 from __future__ import annotations
@@ -78,7 +78,8 @@ class Formatter:
 
     def __init__(self, budget: int = BUDGET, history: int = HISTORY, count=n_tokens):
         self.budget, self.history, self.count = budget, history, count
-        self.system: tuple[str, str, int] | None = None
+        self.system: tuple[str, str, int] | None = None  # once the window in which it first stands is closed
+        self.late: tuple[str, str, int] | None = None  # until then
         self.past: list[tuple[str, str, int]] = []  # turns before the span, at most `history` tokens
         self.span: list[tuple[str, str, int]] = []
         self.lead = 0  # tokens of what is repeated
@@ -86,7 +87,7 @@ class Formatter:
         self.windows = 0
 
     def _repeated(self) -> list[tuple[str, str, int]]:
-        return ([self.system] if self.system and self.windows else []) + self.past
+        return ([self.system] if self.system else []) + self.past
 
     def add(self, role: str, text: str) -> Iterator[dict]:
         turn = (role, text, self.count(text) + MARKS)
@@ -96,8 +97,8 @@ class Formatter:
             while self.past and sum(t[2] for t in self._repeated()) + turn[2] > self.budget:
                 self.past.pop(0)
             self.lead = sum(t[2] for t in self._repeated())
-        if role == "system" and self.system is None:
-            self.system = turn
+        if role == "system" and self.system is None and self.late is None:
+            self.late = turn
         self.span.append(turn)
         self.sum += turn[2]
 
@@ -117,6 +118,7 @@ class Formatter:
             at += len(a) + len(b) + len(c)
         n_repeated = len(head)
         out = {"window": self.windows, "formatted": "".join(text), "loss": loss, "n_repeated": n_repeated, "n_tokens": self.lead + self.sum}
+        self.system = self.system or self.late
         kept, total = [], 0
         for t in reversed(self.past + self.span):
             if t is self.system:
