@@ -9,7 +9,8 @@ consecutive words and are found with array comparisons.
 One pass over the texts, no shuffle. Words are `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` after lower-casing A-Z.
 `score` is the share of a text's words inside base phrases or accepted wording, 0 for a text without
 words. Null and empty texts: no words, no labels (empty strings), first_word and last_word null.
-Repeated rows are scanned one by one; extra columns are ignored.
+Repeated rows are scanned one by one, very long texts whole. Where templates match at one place, each counts;
+equal labels are one. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,24 +30,61 @@ from inkstone.llm._words import ALNUM, Words, hash_words, slices
 #: Phrases and labels of the contract.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: Wording of common notices; [[optional]], {{up to n other words}}.
-TEMPLATES = {
-    "gpl": "under the GNU General Public License [[as published by the Free Software Foundation]] [[either]] version {{1}} [[of the License]]",
-    "lgpl": "under the GNU Lesser General Public License [[as published by the Free Software Foundation]] [[either]] version {{2}} [[of the License]]",
-    "apache-2": "licensed under the Apache License Version 2 0 [[the License you may not use this file except in compliance with the License]]",
-    "cc-by": "under the Creative Commons Attribution {{2}} [[International]] License",
-    "cc-by-sa": "licensed under CC BY SA {{2}}",
-    "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
-    "documentation files [[the Software]] to deal in the Software without restriction [[including without limitation the "
-    "rights to use copy modify merge publish distribute sublicense and or sell copies of the Software]]",
-    "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that "
-    "the following conditions are met [[1]] redistributions of source code must retain the above copyright notice",
-    "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby "
-    "granted provided that the above copyright notice and this permission notice appear in all copies",
-    "mpl-2": "subject to the terms of the Mozilla Public License v 2 0",
-    "unlicense": "this is free and unencumbered software released into the public domain",
-    "proprietary": "all rights reserved {{8}} may not be reproduced [[distributed]] [[or transmitted]]",
-}
+#: Wording of common notices and licenses, as (label, text); [[optional]], {{up to n other words}}.
+TEMPLATES = [
+    ("gpl", "under the GNU General Public License [[as published by the Free Software Foundation]] [[either]] version {{1}} of the License"),
+    ("gpl", "under the GNU General Public License [[as published by the Free Software Foundation]] [[either]] version [[1]] [[2]] [[3]] [[of the License]]"),
+    ("gpl", """this program is free software you can redistribute it and or modify it under the terms of the GNU General Public License
+     as published by the Free Software Foundation either version {{1}} of the License or at your option any later version
+     [[this program is distributed in the hope that it will be useful but WITHOUT ANY WARRANTY without even the implied warranty of
+     MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE see the GNU General Public License for more details]]
+     [[you should have received a copy of the GNU General Public License along with this program {{16}} licenses]]"""),
+    ("lgpl", "under the GNU Lesser General Public License [[as published by the Free Software Foundation]] [[either]] version [[2]] [[3]] [[1]] [[0]] [[of the License]]"),
+    ("apache-2", "licensed under the Apache License Version 2 0 [[the License]]"),
+    ("apache-2", """licensed under the Apache License Version 2 0 the License you may not use this file except in compliance with the License
+     you may obtain a copy of the License at [[http]] [[https]] {{8}} LICENSE 2 0 unless required by applicable law or agreed to in writing
+     software distributed under the License is distributed on an AS IS BASIS WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND either express or
+     implied see the License for the specific language governing permissions and limitations under the License"""),
+    ("cc-by", "under the Creative Commons Attribution {{3}} License"),
+    ("cc-by-sa", "licensed under CC BY SA [[2]] [[3]] [[4]] [[5]] [[0]]"),
+    ("mit", """permission is hereby granted free of charge to any person obtaining a copy of this software and associated
+     documentation files the Software to deal in the Software without restriction including without limitation the
+     rights to use copy modify merge publish distribute sublicense and or sell copies of the Software and to permit persons to whom the
+     Software is furnished to do so subject to the following conditions the above copyright notice and this permission notice
+     [[including the next paragraph]] shall be included in all copies or substantial portions of the Software THE SOFTWARE IS PROVIDED AS IS
+     WITHOUT WARRANTY OF ANY KIND EXPRESS OR IMPLIED INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY FITNESS FOR A
+     PARTICULAR PURPOSE AND NONINFRINGEMENT IN NO EVENT SHALL THE {{12}} BE LIABLE FOR ANY CLAIM DAMAGES OR OTHER LIABILITY
+     WHETHER IN AN ACTION OF CONTRACT TORT OR OTHERWISE ARISING FROM OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER
+     DEALINGS IN THE SOFTWARE"""),
+    ("mit", """permission is hereby granted free of charge to any person obtaining a copy of this software and associated
+     documentation files [[the Software]] to deal in the Software without restriction [[including without limitation the
+     rights to use copy modify merge publish distribute sublicense and or sell copies of the Software]]"""),
+    ("bsd", """redistribution and use in source and binary forms with or without modification are permitted provided that
+     the following conditions are met [[1]] redistributions of source code must retain the above copyright notice"""),
+    ("bsd", """redistribution and use in source and binary forms with or without modification are permitted provided that
+     the following conditions are met [[1]] redistributions of source code must retain the above copyright notice this list of conditions
+     and the following disclaimer [[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions
+     and the following disclaimer in the documentation and or other materials provided with the distribution
+     [[3]] [[neither the name of {{12}} nor the names of its contributors may be used to endorse or promote products derived from this
+     software without specific prior written permission]] THIS SOFTWARE IS PROVIDED BY THE {{10}} AS IS AND ANY EXPRESS OR IMPLIED
+     WARRANTIES INCLUDING BUT NOT LIMITED TO THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+     DISCLAIMED IN NO EVENT SHALL THE {{10}} BE LIABLE FOR ANY DIRECT INDIRECT INCIDENTAL SPECIAL EXEMPLARY OR CONSEQUENTIAL DAMAGES
+     INCLUDING BUT NOT LIMITED TO PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES LOSS OF USE DATA OR PROFITS OR BUSINESS INTERRUPTION HOWEVER
+     CAUSED AND ON ANY THEORY OF LIABILITY WHETHER IN CONTRACT STRICT LIABILITY OR TORT INCLUDING NEGLIGENCE OR OTHERWISE ARISING IN ANY
+     WAY OUT OF THE USE OF THIS SOFTWARE EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE"""),
+    ("isc", """permission to use copy modify and or distribute this software for any purpose with or without fee is hereby
+     granted provided that the above copyright notice and this permission notice appear in all copies
+     [[THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES
+     OF MERCHANTABILITY AND FITNESS IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL DIRECT INDIRECT OR CONSEQUENTIAL DAMAGES OR ANY
+     DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE DATA OR PROFITS WHETHER IN AN ACTION OF CONTRACT NEGLIGENCE OR OTHER TORTIOUS ACTION
+     ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE]]"""),
+    ("mpl-2", """subject to the terms of the Mozilla Public License v 2 0 [[if a copy of the MPL was not distributed with this file you can
+     obtain one at {{6}} MPL 2 0]]"""),
+    ("unlicense", """this is free and unencumbered software released into the public domain [[anyone is free to copy modify publish use compile
+     sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and
+     by any means]]"""),
+    ("proprietary", "all rights reserved {{8}} may not be reproduced [[distributed]] [[or transmitted]]"),
+]
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -78,6 +116,8 @@ class Automaton:
                     self._add(word)
         if opened:
             raise ValueError("[[ without ]]")
+        if parts[-1].strip() == "" and len(parts) > 1 and parts[-2].startswith("{{"):
+            raise ValueError("a template does not end with {{n}}, which would take words that follow it")
         self.end = len(self.step)
         self.head = [w for w, _ in self.step[:3]]
         if len(self.head) < 3 or None in self.head or any(self.skip[:3]):
@@ -112,7 +152,7 @@ class Automaton:
 @lru_cache(None)
 def _compiled() -> tuple[list[tuple[str, Automaton, np.ndarray]], list[tuple[str, np.ndarray]]]:
     autos = []
-    for label, template in TEMPLATES.items():
+    for label, template in TEMPLATES:
         a = Automaton(template)
         autos.append((label, a, hash_words([w.encode() for w in a.head])))
     return autos, [(label, hash_words([w.encode() for w in phrase.split()])) for phrase, label in PHRASES.items()]
