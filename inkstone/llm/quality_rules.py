@@ -6,15 +6,17 @@ while the exact binomial test rejects "this rule turns away more than `risk / ru
 good documents" at level `delta / (strata x rules)`. Bonferroni corrects over strata and rules, the
 fixed sequence over cutoffs, so with confidence 1 - delta no stratum loses more than `risk` of its good
 documents to all rules together. Of the certified cutoffs the most lenient one that turns away the most
-labelled bad documents is used; with none certified the rule stays silent in that stratum. All labelled
-rows are the holdout: nothing else is fitted on them.
+labelled bad documents is used; with none certified the rule stays silent in that stratum. The labelled
+documents are the holdout: nothing else is fitted on them. Equal texts of a stratum are one draw (good only if
+every label says so), so copies do not count as independent evidence.
 
 DataFrame functions only. Only the narrow counts are written to the shared folder and joined to labels;
 texts are read once and never shuffled. Words are `[^\x20\x09-\x0D]+`. Null or empty text: no words, all
 counts 0, base_failed. Null strata are a stratum of their own. Repeated label rows of a document count
-once (bad if any says so); rows with a null doc_id have no label. Extra columns are ignored. An empty
-table gives an empty result; without labels only the base rule acts. Three-word windows are compared by
-64-bit hash within one text.
+once (bad if any says so); rows with a null doc_id have no label. Repeated documents are judged one by one; a
+value that equals a cutoff is kept. Very long texts are counted whole, in one row's memory. Extra columns are
+ignored. An empty table gives an empty result; without labels only the base rule acts. Three-word windows are
+compared by 64-bit hash within one text.
 """
 
 from __future__ import annotations
@@ -151,18 +153,24 @@ def certify(labelled: DataFrame, risk: float = RISK, delta: float = DELTA) -> Da
 
 def judge(docs: DataFrame, labels: DataFrame, keep: list[str], stratum: Column, risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """`keep` (doc_id among them), the counts, rule values, base_failed, cutoffs met (`failed_rules`) and kept."""
-    f = features(docs.withColumn("_stratum", F.coalesce(stratum, F.lit(""))), [*keep, "_stratum"])
+    marked = docs.withColumns({"_stratum": F.coalesce(stratum, F.lit("")), "_md5": F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))})
+    f = features(marked, [*keep, "_stratum", "_md5"])
     f = cut(f)  # narrow; the texts are not read again
     f = f.select("*", *[make().alias(r) for r, make in RULES.items()], F.expr(BASE_FAILED).alias("base_failed"))
     known = (
         labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg((F.min("quality") > 0).alias("good"))
     )
-    holdout = f.where(~F.col("base_failed")).join(known, F.col("doc_id") == F.col("_id")).withColumnRenamed("_stratum", "stratum")
+    holdout = (
+        f.where(~F.col("base_failed"))
+        .join(known, F.col("doc_id") == F.col("_id"))
+        .groupBy(F.col("_stratum").alias("stratum"), "_md5")
+        .agg(F.min("good").alias("good"), *[F.min(r).alias(r) for r in RULES])  # equal texts have equal values
+    )
     cutoffs = certify(holdout, risk, delta)
     wide = cutoffs.groupBy(F.col("stratum").alias("_s")).agg(
         *[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cutoff_{r}") for r in RULES]
     )
-    out = f.join(wide, F.col("_stratum") == F.col("_s"), "left").drop("_s")
+    out = f.join(wide, F.col("_stratum") == F.col("_s"), "left").drop("_s", "_md5")
     failed = F.concat_ws(",", *[F.when(F.col(r) > F.col(f"cutoff_{r}"), F.lit(r)) for r in RULES])
     return out.withColumn("failed_rules", failed).withColumn("kept", ~F.col("base_failed") & (F.col("failed_rules") == ""))
 
@@ -193,21 +201,21 @@ f AS (SELECT doc_id, coalesce(lang, '') AS stratum, len(w)::BIGINT AS n_words,
         (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
         (length(t) - length(regexp_replace(t, '[A-Z!]', '', 'g')))::BIGINT AS n_shouted,
         len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
-        coalesce(rw.n, 0)::BIGINT AS n_repeat_words
+        coalesce(rw.n, 0)::BIGINT AS n_repeat_words, md5(t) AS m
       FROM l LEFT JOIN rw USING (doc_id)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)"""
 
 
 def oracle() -> str:
     """DuckDB SQL for op1: the same counts, and the binomial tail through lgamma."""
-    rules = " UNION ALL ".join(f"SELECT doc_id, stratum, '{r}' AS rule, {v} AS v, base_failed FROM b" for r, v in _VALUES.items())
+    rules = " UNION ALL ".join(f"SELECT doc_id, stratum, m, '{r}' AS rule, {v} AS v, base_failed FROM b" for r, v in _VALUES.items())
     grid = ", ".join(f"({i}, {c}::DOUBLE)" for i, c in enumerate(GRID))
     a, level = RISK / len(RULES), DELTA / len(RULES)
     return f"""
 WITH {_FEATURES_SQL.strip()},
 v AS ({rules}),
 known AS (SELECT doc_id, min(quality) > 0 AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
-h AS (SELECT v.*, good FROM v JOIN known USING (doc_id) WHERE NOT base_failed),
+h AS (SELECT stratum, rule, m, any_value(v) AS v, bool_and(good) AS good FROM v JOIN known USING (doc_id) WHERE NOT base_failed GROUP BY ALL),
 grid(step, cutoff) AS (VALUES {grid}),
 s AS (SELECT stratum, rule, step, cutoff, count(*) FILTER (good) AS n, count(*) FILTER (good AND v > cutoff) AS k,
         count(*) FILTER (NOT good AND v > cutoff) AS caught FROM h, grid GROUP BY ALL),
