@@ -15,7 +15,8 @@ documents) is indexed against each block:
 Nothing is shuffled: texts stay in their partitions. Words are `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` after
 lower-casing A-Z. Null or empty texts: no words, nothing hit. Benchmark rows without words are ignored,
 those with a null item_id hit but are not listed; equal item_ids count once. Repeated documents are
-judged one by one. Extra columns are ignored.
+judged one by one. Very long texts are indexed whole, in a shard of their own. An empty table gives an empty
+result, an empty benchmark hits nothing. Extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -3,14 +3,15 @@ r"""Quality classifier (operator 6): hashed word n-grams, logistic regression by
 Features of a text, hashed into 2^20 weights: each word, each pair of neighbouring words, and the same of
 the words' shapes (letters, digits and marks in runs: `THE!!` is `A!`), each kind scaled by 1 / sqrt(its
 number) so that long and short texts weigh alike, and two buckets that stand for the text's length and
-its share of repeated three-word windows. Labels come only from training rows, at most `MOST` of them,
-chosen by hash of doc_id; their features are gathered once and updates are made example by example
+its share of repeated three-word windows. Labels come only from training rows, at most `MOST` of them with
+`MOST_BYTES` of text, chosen by hash of doc_id; their features are gathered once and updates are made example by example
 (per-coordinate rates, L1 and L2), `EPOCHS` times, on the driver. Scoring is one pass without a shuffle: a
 sparse dot product for each text.
 
 Null and empty texts have the bias and the length bucket only. Labels of a doc_id that repeats count
-once (the smaller). Without training rows every score is 0.5. A null doc_id is scored, held_out false.
-Extra columns are ignored.
+once (the smaller); of texts that repeat a labelled doc_id the one of the smallest hash is learned from. Equal
+texts get equal scores. Very long texts are read whole. Without training rows every score is 0.5; an empty table
+gives an empty result. A null doc_id is scored, held_out false. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,8 +28,9 @@ from inkstone.llm._models import chosen, remainder, with_text
 from inkstone.llm._words import SPACED, Words, mix, prefix_hash, powers, slices
 
 BITS = 20
-#: The documented bound of the training sample.
+#: The documented bounds of the training sample: labelled rows, and bytes of their texts.
 MOST = 6_000
+MOST_BYTES = 48 << 20
 EPOCHS = 3
 _CLASS = np.arange(256, dtype=np.uint8)
 _CLASS[97:123] = _CLASS[128:] = 97
@@ -122,22 +124,28 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [
                     batch.column(0).slice(lo, hi - lo),
                     batch.column(1).slice(lo, hi - lo),
+                    batch.column(3).slice(lo, hi - lo),
                     pa.array([cut(index.astype(np.int32), d) for d in range(hi - lo)], pa.binary()),
                     pa.array([cut(value, d) for d in range(hi - lo)], pa.binary()),
                 ],
-                names=["doc_id", "y", "i", "v"],
+                names=["doc_id", "y", "h", "i", "v"],
             )
 
 
 def train(docs: DataFrame, labelled: DataFrame, most: int = MOST, epochs: int = EPOCHS) -> np.ndarray:
     """Weights from labelled(doc_id, y): 2^BITS of them and the bias."""
     few = chosen(labelled, most, 6)
-    rows = with_text(docs, few).select("doc_id", "y", "text").mapInArrow(_gather, "doc_id long, y int, i binary, v binary")
+    texts = with_text(docs, few, MOST_BYTES, 6).select("doc_id", "y", "text", "_h")
+    rows = texts.mapInArrow(_gather, "doc_id long, y int, h long, i binary, v binary")
     model = Ftrl()
-    examples = {}
+    examples: dict[int, tuple] = {}
+    hashes: dict[int, int] = {}
     for batch in rows.toArrow().to_batches():
-        for d, y, i, v in zip(*batch.columns, strict=True):
-            examples[d.as_py()] = (np.frombuffer(i.as_py(), np.int32), np.frombuffer(v.as_py(), np.float32), y.as_py())
+        for d, y, h, i, v in zip(*batch.columns, strict=True):
+            d, h = d.as_py(), h.as_py()
+            if d not in hashes or h < hashes[d]:
+                hashes[d] = h
+                examples[d] = (np.frombuffer(i.as_py(), np.int32), np.frombuffer(v.as_py(), np.float32), y.as_py())
     ids = sorted(examples)
     rng = np.random.default_rng(6)
     for _ in range(epochs):

@@ -8,11 +8,13 @@ positives than in unlabelled text; the weights minimise the class-prior-correcte
 
 with the logistic loss: where the second term falls below zero, the step goes back up its gradient instead.
 Negative labels are not examples; the prior is the share of toxic rows among training labels. At most
-`MOST_POSITIVE` and `MOST_UNLABELLED` texts (chosen by hash of doc_id, from training rows) are used. Scoring
-is one pass without a shuffle.
+`MOST_POSITIVE` and `MOST_UNLABELLED` texts of `MOST_BYTES` each (chosen by hash of doc_id, from training rows)
+are fitted, on `COLUMNS` features: bounds of the fit alone. Scoring is one pass without a shuffle.
 
 Null and empty texts score by the bias alone. A doc_id labelled twice is toxic if any label says so.
-Without positives every score is 0. A null doc_id is scored, held_out false. Extra columns are ignored.
+Of texts that repeat a doc_id the one of the smallest hash is learned from; equal texts get equal scores. Very
+long texts are read whole. Without positives every score is about 0; an empty table gives an empty result. A null
+doc_id is scored, held_out false. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +33,9 @@ from inkstone.llm._words import ALNUM, Words, mix, powers, prefix_hash, slices
 BITS = 20
 MOST_POSITIVE = 3_000
 MOST_UNLABELLED = 9_000
+#: Bytes of the texts of each of the two.
+MOST_BYTES = 64 << 20
+#: Features of the classifier.
 COLUMNS = 1_024
 #: Bytes of the word beginnings that are features of their own.
 BEGINNINGS = (4, 5, 6, 7, 8)
@@ -66,9 +71,10 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [
                     batch.column(0).slice(lo, hi - lo),
                     batch.column(1).slice(lo, hi - lo),
+                    batch.column(3).slice(lo, hi - lo),
                     pa.array([own[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary()),
                 ],
-                names=["doc_id", "positive", "i"],
+                names=["doc_id", "positive", "h", "i"],
             )
 
 
@@ -112,16 +118,17 @@ def _mean(x: np.ndarray, r: np.ndarray) -> np.ndarray:
 
 def train(docs: DataFrame, positives: DataFrame, unlabelled: DataFrame, prior: float) -> tuple[np.ndarray, np.ndarray, float]:
     """(buckets, weights, bias) from positives(doc_id) and unlabelled(doc_id)."""
-    few = (
-        chosen(positives, MOST_POSITIVE, 8)
-        .withColumn("positive", F.lit(True))
-        .unionByName(chosen(unlabelled, MOST_UNLABELLED, 9).withColumn("positive", F.lit(False)))
-    )
-    rows = with_text(docs, few).select("doc_id", "positive", "text").mapInArrow(_gather, "doc_id long, positive boolean, i binary")
-    found = {}
-    for batch in rows.toArrow().to_batches():
-        for d, p, i in zip(*batch.columns, strict=True):
-            found[(d.as_py(), p.as_py())] = np.frombuffer(i.as_py(), np.int32)
+    found: dict[tuple, np.ndarray] = {}
+    hashes: dict[tuple, int] = {}
+    for positive, ids, most, salt in ((True, positives, MOST_POSITIVE, 8), (False, unlabelled, MOST_UNLABELLED, 9)):
+        few = chosen(ids, most, salt).withColumn("positive", F.lit(positive))
+        texts = with_text(docs, few, MOST_BYTES, salt).select("doc_id", "positive", "text", "_h")
+        for batch in texts.mapInArrow(_gather, "doc_id long, positive boolean, h long, i binary").toArrow().to_batches():
+            for d, p, h, i in zip(*batch.columns, strict=True):
+                key, h = (d.as_py(), p.as_py()), h.as_py()
+                if key not in hashes or h < hashes[key]:
+                    hashes[key] = h
+                    found[key] = np.frombuffer(i.as_py(), np.int32)
     keys = sorted(found)
     pos, unl = [found[k] for k in keys if k[1]], [found[k] for k in keys if not k[1]]
     columns = choose_columns(pos, unl)
