@@ -16,6 +16,8 @@ _RUNS = "[a-z0-9]+|[一-鿿㐀-䶿]+"
 _DROP = r"[\s\p{Z}\x{FEFF}\p{P}\p{S}]"
 #: Fixed value: kept apart from its simplified look-alike, so that the reign name stays itself.
 KEPT_VARIANTS = "乾"
+#: Variants that are read otherwise than the library's rule has them, or not by it at all.
+OTHER_VARIANTS = "嶽岳 鑪炉 鶏鸡 鴎鸥 韈袜 龎庞 儗拟 鎌镰 閙闹 鶓鹇 鼕咚 齗龃 鎪镂 逕径 韆千 鷦鹩"
 _tables: dict[int, tuple[str, str]] = {}
 
 
@@ -25,8 +27,9 @@ def variant_table(spark: SparkSession, rule: str = "Traditional-Simplified") ->
     if known is None:
         chars = [chr(c) for lo, hi in ((0x3400, 0x4DC0), (0x4E00, 0xA000)) for c in range(lo, hi)]
         mapped = spark._jvm.com.ibm.icu.text.Transliterator.getInstance(rule).transliterate(" ".join(chars)).split(" ")
-        pairs = [(a, b) for a, b in zip(chars, mapped, strict=True) if a != b and len(b) == 1 and a not in KEPT_VARIANTS]
-        known = _tables[id(spark)] = ("".join(a for a, _ in pairs), "".join(b for _, b in pairs))
+        pairs = {a: b for a, b in zip(chars, mapped, strict=True) if a != b and len(b) == 1 and a not in KEPT_VARIANTS}
+        pairs |= {p[0]: p[1] for p in OTHER_VARIANTS.split()}
+        known = _tables[id(spark)] = ("".join(pairs), "".join(pairs.values()))
     return known
 
 

@@ -119,20 +119,25 @@ def label_of(field: Column) -> Column:
 def gated(docs: DataFrame, q: str, dictionary: DataFrame | None = None) -> DataFrame:
     """Docs of which every segment of a normalised query has a gram in some field."""
     values = values_for(field_dictionary(docs) if dictionary is None else dictionary, q, FIELDS).where(F.size("hits") > 0)
-    return _gate(_with_values(docs, values, lambda f: [F.col("hits").alias(f"_h_{f}")]), q).drop(*[f"_h_{f}" for f in FIELDS])
+    return _gate(_with_values(docs, values), q).drop(*[f"_v_{f}" for f in FIELDS])
 
 
-def _with_values(docs: DataFrame, values: DataFrame, columns) -> DataFrame:
-    """docs with the columns of its own value of each field, null where that value does not matter."""
+def _with_values(docs: DataFrame, values: DataFrame) -> DataFrame:
+    """docs with `_v_<field>`, the row of its own value of each field, null where that value does not matter.
+
+    The five joins have the same right side (field and value are one key), so it is made and sent once.
+    """
+    key = lambda f, raw: F.concat_ws("\x01", f, raw)
+    packed = values.select(key(F.col("field"), F.col("raw")).alias("_k"), F.struct("bonus", "distance", "window", "hits").alias("_v"))
     for f in FIELDS:
-        own = values.where(F.col("field") == f).select(F.col("raw").alias("_r"), *columns(f))
-        docs = docs.join(own, F.col(f) == F.col("_r"), "left").drop("_r")
+        own = packed.select("_k", F.col("_v").alias(f"_v_{f}"))
+        docs = docs.join(own, key(F.lit(f), F.col(f)) == F.col("_k"), "left").drop("_k")
     return docs
 
 
 def _gate(docs: DataFrame, q: str) -> DataFrame:
     nothing = F.array().cast("array<int>")
-    seen = F.array_distinct(F.flatten(F.array(*[F.coalesce(f"_h_{f}", nothing) for f in FIELDS])))
+    seen = F.array_distinct(F.flatten(F.array(*[F.coalesce(f"_v_{f}.hits", nothing) for f in FIELDS])))
     return docs.where(F.size(seen) == len(segment_grams(q)))
 
 
@@ -169,14 +174,14 @@ def search(docs: DataFrame, query: SearchQuery, dictionary: DataFrame | None = N
     if free:
         values = values_for(field_dictionary(source) if dictionary is None else dictionary, free, FIELDS)
 
-        def columns(f: str) -> list[Column]:
-            score = (F.col("bonus") + WEIGHTS[f] * 10).alias("score")
-            m = F.struct(score, F.lit(-FIELDS.index(f)).alias("ord"), F.lit(f).alias("field"), "distance", "window")
-            return [F.col("hits").alias(f"_h_{f}"), F.when(F.col("bonus").isNotNull(), m).alias(f"_m_{f}")]
+        def scored(f: str) -> Column:
+            v = F.col(f"_v_{f}")
+            m = (v["bonus"] + WEIGHTS[f] * 10).alias("score"), F.lit(-FIELDS.index(f)).alias("ord"), F.lit(f).alias("field")
+            return F.when(v["bonus"].isNotNull(), F.struct(*m, v["distance"].alias("distance"), v["window"].alias("window")))
 
-        best = F.array_max(F.array_compact(F.array(*[F.col(f"_m_{f}") for f in FIELDS])))
-        out = _gate(_with_values(out, values, columns), free).withColumn("_free", best).where(F.col("_free").isNotNull())
-        out = out.drop(*[f"_{c}_{f}" for f in FIELDS for c in "hm"])
+        best = F.array_max(F.array_compact(F.array(*[scored(f) for f in FIELDS])))
+        out = _gate(_with_values(out, values), free).withColumn("_free", best).where(F.col("_free").isNotNull())
+        out = out.drop(*[f"_v_{f}" for f in FIELDS])
         matches.append(("_free", query.q, _FREE_LEAD, _FREE_NEAR, label_of(F.col("_free.field"))))
     score = sum((F.col(f"{m[0]}.score") for m in matches), F.lit(0))
     reasons = F.array(*[_reason(F.col(m), raw, lead, near, label) for m, raw, lead, near, label in matches])

@@ -16,6 +16,7 @@ from inkstone.operators import relational as rel
 from inkstone.operators.search import SearchQuery, after, gated, ordered, page, search
 from inkstone.plans.docs import build_docs, postings
 from inkstone.schema import FIELDS, WEIGHTS
+from inkstone.sources.log import fold_payloads, parsed
 
 _NORM = r"regexp_replace(lower({}), '[\s\p{{Z}}\p{{P}}\p{{S}}]', '', 'g')"
 
@@ -226,6 +227,102 @@ def _t2s(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(words)), "id long, w string").select("id", X.t2s(spark, F.col("w")).alias("s"))
 
 
+# Fixed values of the made-up archive: written forms, each beside its normal form.
+_MARKS = [("ＴＰ－", "tp"), ("Tp ", "tp"), ("①／", "1"), ("（碑）", "碑")]
+_REIGNS = [("漢", "汉"), ("清", "清"), ("乾隆", "乾隆"), ("嶽", "岳"), ("鶏", "鸡")]
+_DAMAGES = [("蟲蛀孔", "虫蛀孔"), ("虫蛀　孔", "虫蛀孔"), ("撕裂", "撕裂"), ("黴變", "霉变"), ("水渍", "水渍"), ("折痕斷裂", "折痕断裂")]
+
+
+def _cjk_docs(spark: SparkSession, d: str) -> DataFrame:
+    """A doc for each line item whose values are written forms chosen by its keys."""
+    li = _t(spark, d, "lineitem")
+    of = lambda values, k: F.element_at(F.array(*[F.lit(a) for a, _ in values]), (F.col(k) % len(values) + 1).cast("int"))
+    code = F.concat(of(_MARKS, "l_suppkey"), of(_REIGNS, "l_partkey"), F.lpad((F.col("l_orderkey") % 50).cast("string"), 3, "0"))
+    empty = F.lit("")
+    return li.select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), F.lit("damage").alias("kind"), code.alias("code"), of(_DAMAGES, "l_orderkey").alias("damageType"),
+        empty.alias("source"), empty.alias("name"), empty.alias("other"), F.col("l_shipdate").cast("date").cast("string").alias("createdAt"),
+    )
+
+
+def _list(values: list[tuple[str, str]], which: int) -> str:
+    return "[" + ", ".join(f"'{v[which]}'" for v in values) + "]"
+
+
+_CJK_SQL = f"""cjk AS (SELECT l_orderkey::VARCHAR || '-' || l_linenumber::VARCHAR AS id, l_shipdate::DATE::VARCHAR AS createdAt,
+    ({_list(_MARKS, 0)})[l_suppkey % {len(_MARKS)} + 1] || ({_list(_REIGNS, 0)})[l_partkey % {len(_REIGNS)} + 1] || lpad((l_orderkey % 50)::VARCHAR, 3, '0') AS code,
+    ({_list(_MARKS, 1)})[l_suppkey % {len(_MARKS)} + 1] AS mark, ({_list(_REIGNS, 1)})[l_partkey % {len(_REIGNS)} + 1] AS reign, lpad((l_orderkey % 50)::VARCHAR, 3, '0') AS num,
+    ({_list(_DAMAGES, 1)})[l_orderkey % {len(_DAMAGES)} + 1] AS damage FROM lineitem)"""
+
+
+def _cjk_norm(spark: SparkSession, d: str) -> DataFrame:
+    rows = _cjk_docs(spark, d)
+    return rows.select("id", X.norm(spark, F.col("code")).alias("code"), X.norm(spark, F.col("damageType")).alias("damage"))
+
+
+def _cjk_tokens(spark: SparkSession, d: str) -> DataFrame:
+    both = X.norm(spark, F.concat("code", F.lit(" "), "damageType"))
+    return _cjk_docs(spark, d).select("id", F.array_join(F.array_sort(X.tokens(both)), " ").alias("tokens"))
+
+
+_CJK_TOKENS_SQL = f"""WITH {_CJK_SQL}, n AS (SELECT row_number() OVER () AS rid, id, mark || reign || num || damage AS n FROM cjk),
+r AS (SELECT rid, id, unnest(regexp_extract_all(n, '[a-z0-9]+|[\\x{{4E00}}-\\x{{9FFF}}]+')) AS r FROM n),
+g AS (SELECT rid, id, CASE WHEN regexp_matches(r, '^[a-z0-9]') THEN [r]
+  ELSE list_concat(string_split(r, ''), list_transform(range(1, greatest(len(r), 1)), lambda i: substr(r, i, 2))) END AS g FROM r)
+SELECT id, array_to_string(list_sort(list_distinct(flatten(list(g)))), ' ') AS tokens FROM g GROUP BY rid, id"""
+
+
+def _reasons(params: dict) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        hits = search(_cjk_docs(spark, d), SearchQuery.from_params(params))
+        return hits.select("id", "code", "createdAt", "score", F.explode("matchedReasons").alias("r")).select("id", "code", "createdAt", "score", "r.*")
+
+    return run
+
+
+_TYPO_SQL = f"""WITH {_CJK_SQL} SELECT id, code, createdAt, 70 AS score, '病害类型' AS field, '蟲柱孔' AS query, 'fuzzy' AS match, 1 AS distance,
+  '关键词近似命中病害类型（与「虫蛀孔」相差 1 字，已按错一个字容错）' AS detail FROM cjk WHERE damage = '虫蛀孔'"""
+_MIXED_SQL = f"""WITH {_CJK_SQL}, h AS (SELECT *, CASE WHEN mark || reign = 'tp汉' THEN 108 ELSE 90 END AS c FROM cjk
+  WHERE mark || reign || num LIKE '%tp汉%' AND damage = '霉变')
+SELECT id, code, createdAt, 208 AS score, unnest(['编号', '病害类型']) AS field, unnest(['ＴＰ漢', '黴變']) AS query, 'exact' AS match, 0 AS distance,
+  unnest(['命中编号', '命中病害类型']) AS detail FROM h"""
+
+
+def _change_rows(spark: SparkSession, d: str) -> DataFrame:
+    """An upsert of one field for each event, a delete for each error."""
+    field = F.concat(F.lit('{"id":"'), F.col("user_id").cast("string"), F.lit('","'), F.col("event_type"), F.lit('":'), F.col("event_id").cast("string"), F.lit("}"))
+    return _t(spark, d, "events").select(
+        F.lit("rubbing").alias("kind"), F.col("user_id").cast("string").alias("id"), field.alias("payload"), F.lit(None).cast("long").alias("first_seq"),
+        F.lit(None).cast("int").alias("first_sub"), F.col("event_id").alias("seq"), F.lit(0).alias("sub"),
+        F.when(F.col("event_type") == "error", "delete").otherwise("upsert").alias("action"),
+    )
+
+
+_EVENT_FIELDS = ("view", "purchase", "signup", "click")
+
+
+def _merge(spark: SparkSession, d: str) -> DataFrame:
+    rows = fold_payloads(_change_rows(spark, d))
+    return rows.select("id", "first_seq", *[F.get_json_object("payload", f"$.{f}").cast("long").alias(f"last_{f}") for f in _EVENT_FIELDS])
+
+
+_MERGE_SQL = f"""WITH e AS (SELECT *, max(CASE WHEN event_type = 'error' THEN event_id END) OVER (PARTITION BY user_id) AS dead FROM events)
+SELECT user_id::VARCHAR AS id, min(event_id) AS first_seq, {", ".join(f"max(event_id) FILTER (event_type = '{f}') AS last_{f}" for f in _EVENT_FIELDS)}
+FROM e WHERE event_type <> 'error' AND (dead IS NULL OR event_id > dead) GROUP BY user_id"""
+
+
+def _wal(spark: SparkSession, d: str) -> DataFrame:
+    """Log lines of all events, every 97th torn: what can be read of each."""
+    rows = _change_rows(spark, d)
+    line = F.to_json(F.struct("seq", "sub", "kind", "action", "id", F.when(F.col("action") == "upsert", F.col("payload")).alias("payload")))
+    torn = F.when(F.col("seq") % 97 == 0, line.substr(F.lit(1), F.length(line) - 3)).otherwise(line)
+    out = parsed(rows.select(torn.alias("value"))).select("good", "seq", "kind", "action", "id")
+    return out.groupBy("good", "kind", "action").agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("last_seq"))
+
+
+_WAL_SQL = """SELECT event_id % 97 <> 0 AS good, CASE WHEN event_id % 97 <> 0 THEN 'rubbing' END AS kind,
+  CASE WHEN event_id % 97 <> 0 THEN CASE WHEN event_type = 'error' THEN 'delete' ELSE 'upsert' END END AS action, count(*) AS n,
+  max(CASE WHEN event_id % 97 <> 0 THEN event_id END) AS last_seq FROM events GROUP BY ALL"""
 _FUZZY_PARTS = f"""WITH p AS (SELECT p_partkey, {_NORM.format("p_name")} AS n FROM part), w AS (SELECT p_partkey, n, CASE WHEN contains(n, 'blueanvel') THEN 'blueanvel'
   ELSE list_filter(flatten(list_transform([8, 9, 10], lambda z: list_transform(range(1, greatest(len(n) - z + 2, 1)), lambda i: substr(n, i, z)))),
     lambda x: levenshtein(x, 'blueanvel') <= 1)[1] END AS piece FROM p)
@@ -253,6 +350,12 @@ ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "existing_refs": (_refs(rel.existing_ids), "SELECT o_orderkey::VARCHAR AS id FROM orders WHERE EXISTS (FROM lineitem WHERE l_orderkey = o_orderkey)"),
     "first_override_join": (_override, "WITH f AS (SELECT l_partkey, CASE WHEN l_returnflag = 'R' THEN '' ELSE l_returnflag END AS note FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_extendedprice) = 1) SELECT p_partkey, coalesce(nullif(f.note, ''), 'none') AS note FROM part LEFT JOIN f ON l_partkey = p_partkey"),
     "log_fold_latest": (_fold, f"SELECT * FROM ({_EV} QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1) WHERE event_type <> 'error'"),
+    "cjk_normalize": (_cjk_norm, f"WITH {_CJK_SQL} SELECT id, mark || reign || num AS code, damage FROM cjk"),
+    "cjk_tokens": (_cjk_tokens, _CJK_TOKENS_SQL),
+    "cjk_typo_reasons": (_reasons({"q": "蟲柱孔"}), _TYPO_SQL),
+    "cjk_field_reasons": (_reasons({"code": "ＴＰ漢", "type": "黴變"}), _MIXED_SQL),
+    "log_merge_upsert": (_merge, _MERGE_SQL),
+    "wal_recover": (_wal, _WAL_SQL),
     "as_of_state": (_as_of, f"SELECT * FROM ({_EV} WHERE event_id <= 5000 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1) WHERE event_type <> 'error'"),
     "version_intervals": (_intervals, "SELECT user_id, event_id AS valid_from, lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS valid_to, event_type FROM events"),
     "history_prune": (_prune, "SELECT * FROM (SELECT user_id, event_id AS valid_from, lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS valid_to, event_type FROM events) WHERE valid_to IS NULL OR valid_to >= 8000"),

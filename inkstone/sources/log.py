@@ -54,6 +54,24 @@ def merged(payloads: Column) -> Column:
     return F.concat(F.lit("{"), F.array_join(F.transform(entries, pair), ","), F.lit("}"))
 
 
+def parsed(raw: DataFrame) -> DataFrame:
+    """Lines (value) with the columns of a change, and whether the line is one (`good`); torn lines are not."""
+    v = F.try_parse_json("value")
+    return raw.withColumns(
+        {
+            "seq": F.try_variant_get(v, "$.seq", "bigint"),
+            "sub": F.try_variant_get(v, "$.sub", "int"),
+            "kind": F.try_variant_get(v, "$.kind", "string"),
+            "action": F.try_variant_get(v, "$.action", "string"),
+            "id": F.try_variant_get(v, "$.id", "string"),
+            "payload": F.try_variant_get(v, "$.payload", "string"),
+        }
+    ).withColumn(
+        "good",
+        F.col("seq").isNotNull() & F.col("id").isNotNull() & F.coalesce(F.col("kind").isin(*KINDS) & F.col("action").isin("upsert", "delete"), F.lit(False)),
+    )
+
+
 def fold_payloads(rows: DataFrame) -> DataFrame:
     """Live records from rows (kind, id, payload, first_seq, first_sub, seq, sub, action): merged payloads since the last delete."""
     at = F.struct("seq", "sub")
@@ -83,21 +101,7 @@ class ChangeLog:
 
     def lines(self) -> DataFrame:
         """Every line of the log with what could be read of it."""
-        raw = self.spark.read.schema("value string").text(f"{self.path}/changes")
-        v = F.try_parse_json("value")
-        return raw.withColumns(
-            {
-                "seq": F.try_variant_get(v, "$.seq", "bigint"),
-                "sub": F.try_variant_get(v, "$.sub", "int"),
-                "kind": F.try_variant_get(v, "$.kind", "string"),
-                "action": F.try_variant_get(v, "$.action", "string"),
-                "id": F.try_variant_get(v, "$.id", "string"),
-                "payload": F.try_variant_get(v, "$.payload", "string"),
-            }
-        ).withColumn(
-            "good",
-            F.col("seq").isNotNull() & F.col("id").isNotNull() & F.coalesce(F.col("kind").isin(*KINDS) & F.col("action").isin("upsert", "delete"), F.lit(False)),
-        )
+        return parsed(self.spark.read.schema("value string").text(f"{self.path}/changes"))
 
     def changes(self) -> DataFrame:
         """Changes after the current snapshot, each (seq, sub) once; unreadable lines are left out."""
