@@ -9,30 +9,61 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkstone.llm._common import cut
+from inkstone.llm._common import cut, release
 from inkstone.llm._words import trim
 
 
-def components(edges: DataFrame) -> DataFrame:
+#: Edges that one task settles (16 MB); more are settled by rounds of joins, with the same result.
+LOCAL = 1 << 20
+
+
+def components(edges: DataFrame, local: int | None = None) -> DataFrame:
     """(node, component) of every node of edges (a, b); component is the smallest node reachable.
 
     Alternating large-star and small-star steps: each is a grouped minimum and a join, the edge set
     never grows beyond twice its size, and hub nodes cost partial aggregation only. Every round is
-    cut to the shared folder.
+    cut to the shared folder. Up to `local` edges (counted) need no rounds.
     """
-    e = cut(_small(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")))
-    seen = None
+    e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v"))
+    if e.count() <= (LOCAL if local is None else local):
+        return e.coalesce(1).mapInArrow(_joined, "node long, component long")
+    e = cut(_small(e))
     while True:
-        now = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if now == seen or not now["n"]:
+        label = e.groupBy("u").agg(F.min("v").alias("v"), F.count(F.lit(1)).alias("c"))
+        # Done when each node has one edge, to a node that has none.
+        further = label.select(F.col("v").alias("w")).join(label.select(F.col("u").alias("w")), "w", "left_semi")
+        if not label.where("c > 1").select("u").unionByName(further.toDF("u")).agg(F.count(F.lit(1))).first()[0]:
             break
-        seen = now
         e = cut(_small(_large(e)))
-    return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(
+        release(e.sparkSession)
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (u, v) to (node, component), by hooking the larger label to the smaller and halving paths."""
+    pairs = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if pairs:
+        nodes, at = np.unique(np.concatenate([x for p in zip(*pairs, strict=True) for x in p]), return_inverse=True)
+        a, b = at[: len(at) // 2], at[len(at) // 2 :]
+        label = np.arange(len(nodes))
+        while True:
+            x, y = label[a], label[b]
+            apart = x != y
+            if not apart.any():
+                break
+            np.minimum.at(label, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+            while not np.array_equal(label, label[label]):
+                label = label[label]
+        yield pa.record_batch([pa.array(nodes), pa.array(nodes[label])], names=["node", "component"])
+
+
+def stars(comp: DataFrame) -> DataFrame:
+    """The edges (a, b) from each node of components to the smallest one."""
+    return comp.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+
+
 def _large(e: DataFrame) -> DataFrame:
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy(F.col("u").alias("_u")).agg(F.min("v").alias("_m")).select("_u", F.least("_u", "_m").alias("_m"))
@@ -48,13 +79,15 @@ def _small(e: DataFrame) -> DataFrame:
 
 
 class Sieve:
-    """A Bloom filter of fixed size (2^bits bits, 4 MB) over long keys.
+    """A Bloom filter of 16 bits a key, 32 MB at most, over long keys.
 
-    It only spares work: what passes it is joined exactly afterwards. Its size never grows with the data;
-    with more keys than it can tell apart it lets more rows through.
+    It only spares work: what passes it is joined exactly afterwards. Beyond 16 million keys it lets more
+    rows through.
     """
 
-    def __init__(self, keys: DataFrame, column: str, bits: int = 25):
+    def __init__(self, keys: DataFrame, column: str, bits: int | None = None):
+        if bits is None:
+            bits = min(max((16 * keys.count()).bit_length(), 16), 28)
         self.bits = bits
         mask = (1 << bits) - 1
         bit = F.explode(F.array(F.xxhash64(F.lit(1), column), F.xxhash64(F.lit(2), column)).alias("h"))

@@ -1,29 +1,34 @@
 r"""N-gram Jaccard join (operator 3): all links of similarity 3/4 and more, by PartEnum signatures.
 
-A document's set holds its distinct 5-word shingles (64-bit fingerprints; a shorter text is one shingle).
-Sets r, s link when 100 |r & s| >= 75 |r | s|, which bounds their Hamming distance by
-|r| + |s| - 2 ceil(3 (|r| + |s|) / 7). Equal-size bands [l, l / 0.75] turn that into one bound k for each
-band; a set takes part in its own band and the next. In a band the feature domain is hashed into n1
-partitions:
+A document's set holds its distinct 5-word shingles (a shorter text is one shingle). Sets r, s link when
+100 |r & s| >= 75 |r | s|, which bounds their Hamming distance by |r| + |s| - 2 ceil(3 (|r| + |s|) / 7).
+Equal-size bands [l, l / 0.75] turn that into one bound k for each band; a set takes part in its own band
+and the next. In a band the feature domain is hashed into n1 partitions:
 
 * small bands: each partition is divided into n2 = k2 + 3 and every choice of n2 - k2 of them is a
   signature, with n1 (k2 + 1) > k, so linked sets share a signature;
 * large bands: n1 > k partitions, each one signature, so linked sets agree on n1 - k or more.
 
-Signatures are routed in packed blocks, five bytes each, to buckets, where sets with equal signatures
-meet. Copies (equal sets) collapse to their smallest doc_id there. A signature shared by at most
-`hot` different sets yields its pairs. A hotter one (a common passage, a large family of near copies)
-yields stars to two leaders, and costs each member one of the agreements that it can spare: a pair can be
-lost only if both members spend more than they can spare, and only such rows of hot signatures go to
-`_rest`, which compares them block by block. Empty partitions are never sent (they count as spent), unless a set cannot spare them.
-Pairs that share fewer signatures than a link must are dropped unseen. Each set is first verified against the smaller one with which it shares most signatures, on whole sets;
-every other pair after that, unless its ends are in one component by then, which its link could not
-change. No link is capped or dropped.
-
-Copies that only repeat a set cost no pairs. Nulls and texts without words: empty set, linked with
-nothing, component = own doc_id. A null doc_id is reported with a null component and links nothing.
-Rows that repeat a doc_id
-are each reported with the id's largest set and smallest component. Extra columns are ignored.
+1. Equal sets (128-bit fingerprint and size) collapse by a partial aggregation to the one of the smallest
+   doc_id, so copies send no signatures. Each remaining set has its signatures packed in one value.
+2. Signatures are dealt to buckets in packed blocks (some six bytes each, at any number of buckets), where
+   sets with equal signatures meet; only pairs with a set that is in its own band count. A signature of at
+   most `hot` sets yields its pairs. A hotter one (a common passage, a large family of near copies) yields
+   stars to two leaders, and costs each member one of the agreements that it can spare: a pair can be
+   lost only if both members spend more than they can spare, and only such rows of hot signatures go to
+   `_rest`, which compares them block by block. Empty partitions are never sent (they count as spent),
+   unless a set cannot spare them.
+3. Pairs that share fewer signatures than a link must are dropped, and so are those whose parity sketches
+   (one bit for each of 8 k or more hashed bins: how many features fall there, modulo 2) differ in more than
+   k bits: each feature that only one set has changes one bit, so no link is lost.
+4. Each set is first verified against the smaller one with the nearest sketch; every other pair after
+   that, unless its ends are in one component by then, which its link could not change. Verification
+   compares the sets of the texts' words themselves, not of hashes. No link is capped or dropped.
+
+Nulls and texts without words: empty set, linked with nothing, component = own doc_id. A null doc_id is
+reported with a null component and links nothing. Rows that repeat a doc_id are each reported with the
+id's largest set and smallest component. Very long texts are read whole; a text's set and signatures must
+fit in a task. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstone.llm._common import cut, gapless, release, table
-from inkstone.llm._graph import Sieve, components
+from inkstone.llm._graph import Sieve, components, stars
 from inkstone.llm._words import SPACED, Words, mix, slices, trim
 
 GRAM = 5
@@ -50,32 +55,42 @@ BLOCK = 2048
 #: Up to this size (of a band's end) partitions are divided and subsets enumerated.
 SMALL = 40
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
+_COUNT = np.uint64(0x2545F4914F6CDD1D)
 
 
 # --- sets ---------------------------------------------------------------------------------------
 
 
-def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
-    """The sorted distinct shingle fingerprints of each text."""
+def shingle_rows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprints, first): the sorted distinct shingles of text d are fingerprints[first[d]:first[d + 1]]."""
     w = Words(texts, SPACED)
     h, n = w.hash, w.counts
-    out: list[np.ndarray] = [np.zeros(0, np.uint64)] * len(n)
-    grams = np.zeros(len(h), dtype=np.uint64)
     m = max(len(h) - GRAM + 1, 0)
+    grams = np.zeros(m, dtype=np.uint64)
     for j in range(GRAM):
-        grams[:m] += h[j : j + m] * _K[j]
-    grams = mix(grams)
-    for d in np.flatnonzero(n):
+        grams += mix(h[j : j + m]) * _K[j]
+    text = w.text_of()
+    whole = np.flatnonzero(text[:m] == text[GRAM - 1 :]) if m else np.zeros(0, np.int64)
+    values, rows = [mix(grams[whole])], [text[whole]]
+    short = np.flatnonzero((n > 0) & (n < GRAM))
+    for d in short:
         lo, c = w.first[d], int(n[d])
-        if c < GRAM:
-            one = np.uint64((int(np.sum(h[lo : lo + c] * _K[:c], dtype=np.uint64)) + c * 0x2545F4914F6CDD1D) & ((1 << 64) - 1))
-            out[d] = mix(np.array([one], dtype=np.uint64))
-        else:
-            s = np.sort(grams[lo : lo + c - GRAM + 1])
-            keep = np.ones(len(s), dtype=bool)
-            np.not_equal(s[1:], s[:-1], out=keep[1:])
-            out[d] = s[keep]
-    return out
+        values.append(mix(np.sum(mix(h[lo : lo + c]) * _K[:c], dtype=np.uint64, keepdims=True) + _COUNT * _K[c : c + 1]))
+        rows.append(np.array([d]))
+    value, row = np.concatenate(values), np.concatenate(rows)
+    order = np.argsort(value)
+    order = order[np.argsort(row[order], kind="stable")]
+    value, row = value[order], row[order]
+    keep = np.ones(len(value), dtype=bool)
+    keep[1:] = (value[1:] != value[:-1]) | (row[1:] != row[:-1])
+    value, row = value[keep], row[keep]
+    return value, np.searchsorted(row, np.arange(len(n) + 1))
+
+
+def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
+    """The sorted distinct shingle fingerprints of each text."""
+    value, first = shingle_rows(texts)
+    return [value[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
 
 
 # --- the signature scheme -------------------------------------------------------------------------
@@ -90,117 +105,222 @@ def bands(limit: int) -> tuple[int, ...]:
     return tuple(out)
 
 
-def distance(total_low: int, total: int) -> int:
-    """The largest Hamming distance of linked sets whose sizes add up to total_low..total."""
-    return max(t - 2 * -(-3 * t // 7) for t in range(max(total_low, total - 7), total + 1))
+def distance(total: np.ndarray | int) -> np.ndarray:
+    """The largest Hamming distance of linked sets whose sizes add up to `total` or less."""
+    t = np.asarray(total)[..., None] - np.arange(8)
+    return np.max(t - 2 * -(-3 * t // 7), axis=-1)
 
 
 @lru_cache(None)
 def scheme(j: int) -> tuple[int, int, int, int]:
     """(k, n1, n2, k2) of band j."""
     b = bands(1 << 40)
-    lo, hi = b[j], b[j + 1] - 1
-    k = distance(2, 2 * hi)
-    if hi <= SMALL:
+    k = int(distance(2 * (b[j + 1] - 1)))
+    if b[j + 1] - 1 <= SMALL:
         k2 = min(k, 3)
         return k, -(-(k + 1) // (k2 + 1)), k2 + 3, k2
     return k, math.ceil(1.2 * (k + 1)) + 3, 1, 0
 
 
+def _salt(j: int) -> int:
+    return j * 0x9E3779B97F4A7C15 & ((1 << 64) - 1)
+
+
 def signatures(s: np.ndarray, size: int, j: int) -> tuple[np.ndarray, int]:
     """Signatures of a set in band j, and how many of its agreements it can spare."""
-    k, n1, n2, k2 = scheme(j)
-    salt = np.uint64(j * 0x9E3779B97F4A7C15 & ((1 << 64) - 1))
-    if k == 0:
-        return np.zeros(0, np.uint64), 1 << 20  # only equal sets link here, and those are collapsed
-    parts = n1 * n2
+    out, row, spare = _signatures(s, np.array([0, len(s)]), np.array([j]))
+    return out, int(spare[0])
+
+
+def _signatures(value: np.ndarray, first: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, set, spare): those of each set in its given band, sets ascending."""
+    sizes = np.diff(first)
+    plan = {int(j): scheme(int(j)) for j in np.unique(band)}
+    n1 = np.array([plan[int(j)][1] for j in band], dtype=np.int64)
+    k = np.array([plan[int(j)][0] for j in band], dtype=np.int64)
+    n2 = np.array([plan[int(j)][2] for j in band], dtype=np.int64)
+    parts = np.where(k > 0, n1 * n2, 0)  # k = 0: only equal sets link here, and those are collapsed
+    base = np.concatenate([[0], np.cumsum(parts)])
+    salt = np.array([_salt(int(j)) for j in band], dtype=np.uint64)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    some = parts[row] > 0
+    row, v = row[some], value[some]
     with np.errstate(over="ignore"):
-        at = ((mix(s ^ salt) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-        sums = np.zeros(parts, dtype=np.uint64)
-        np.add.at(sums, at, mix(s + salt))
-        counts = np.bincount(at, minlength=parts).astype(np.uint64)
-        value = mix(sums + counts * np.uint64(0x2545F4914F6CDD1D))
-        if k2 == 0:
-            full = counts > 0
-            b = bands(1 << 40)
-            most = size + min(b[j + 1] - 1, size * 4 // 3)
-            spare = n1 - min(distance(2, most), k) - 1 - int(n1 - full.sum())
-            ids = np.arange(n1, dtype=np.uint64)
-            out = mix(value + ids * _K[1] + salt)
-            return (out[full] if spare >= 0 else out), spare
-        out = []
-        value = value.reshape(n1, n2)
-        for number, chosen in enumerate(combinations(range(n2), n2 - k2)):
-            h = np.zeros(n1, dtype=np.uint64)
-            for c in chosen:
-                h = mix(h + value[:, c])
-            out.append(mix(h + np.arange(n1, dtype=np.uint64) * _K[1] + np.uint64(number) * _K[2] + salt))
-        return np.concatenate(out), 0
-
-
-_BLOCK = pa.schema([("bucket", pa.int32()), ("ids", pa.binary()), ("sigs", pa.binary())])
-_DOC = np.dtype([("id", "<i8"), ("fp", "<u8"), ("n", "<i4"), ("band", "<i2"), ("spare", "<i2"), ("count", "<i4")])
-
-
-def _blocks(buckets: int):
-    """Arrow batches of (doc_id, text) to packed signatures by bucket.
-
-    A document's own row (band -1) goes to the bucket of its set's fingerprint.
+        at = base[row] + ((mix(v ^ salt[row]) >> np.uint64(32)) * parts[row].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+        sums = np.zeros(int(base[-1]), dtype=np.uint64)
+        np.add.at(sums, at, mix(v + salt[row]))
+        counts = np.bincount(at, minlength=len(sums)).astype(np.uint64)
+        code = mix(sums + counts * _COUNT)
+        # Large bands: a signature for each partition.
+        owner = np.repeat(np.arange(len(sizes)), parts)
+        number = (np.arange(len(sums)) - base[owner]).astype(np.uint64)
+        full = counts > 0
+        filled = np.bincount(owner[full], minlength=len(sizes))
+        b = np.array(bands(1 << 40), dtype=np.int64)
+        most = sizes + np.minimum(b[band + 1] - 1, sizes * 4 // 3)
+        spare = np.where(n2 == 1, n1 - np.minimum(distance(most), k) - 1 - (n1 - filled), 0)
+        spare = np.where(k > 0, spare, 32000)
+        send = (n2[owner] == 1) & (full | (spare[owner] < 0))
+        out, who = [mix(code[send] + number[send] * _K[1] + salt[owner[send]])], [owner[send]]
+        # Small bands: a signature for each choice of a partition's divisions.
+        for d in np.flatnonzero((n2 > 1) & (k > 0)):
+            _, p, q, k2 = plan[int(band[d])]
+            own = code[base[d] : base[d + 1]].reshape(p, q)
+            for choice, chosen in enumerate(combinations(range(q), q - k2)):
+                h = np.zeros(p, dtype=np.uint64)
+                for c in chosen:
+                    h = mix(h + own[:, c])
+                out.append(mix(h + np.arange(p, dtype=np.uint64) * _K[1] + np.uint64(choice) * _K[2] + salt[d]))
+                who.append(np.full(p, d))
+    sig, of = np.concatenate(out), np.concatenate(who)
+    order = np.argsort(of, kind="stable")
+    return sig[order], of[order], np.clip(spare, -32000, 32000)
+
+
+def sketch_bits(sizes: np.ndarray) -> np.ndarray:
+    """Bins of a set's parity sketch: a power of two, 8 to 16 times its distance bound, 64 at least."""
+    return 1 << np.ceil(np.log2(np.maximum(8 * distance(sizes * 7 // 3), 64))).astype(np.int64)
+
+
+def _sketches(value: np.ndarray, first: np.ndarray) -> list[bytes]:
+    sizes = np.diff(first)
+    bits = sketch_bits(sizes)
+    base = np.concatenate([[0], np.cumsum(bits)])
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    at = base[row] + ((value >> np.uint64(8)).astype(np.int64) & (bits[row] - 1))
+    odd = (np.bincount(at, minlength=int(base[-1])) & 1).astype(np.uint8)
+    packed = np.packbits(odd, bitorder="little").tobytes()
+    return [packed[a // 8 : b // 8] for a, b in zip(base[:-1].tolist(), base[1:].tolist(), strict=True)]
+
+
+def _prints(value: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit sums over each set's members; 0 for empty sets."""
+    sizes = np.diff(first)
+    f1, f2 = np.zeros(len(sizes), np.uint64), np.zeros(len(sizes), np.uint64)
+    some = np.flatnonzero(sizes)
+    if len(some):
+        with np.errstate(over="ignore"):
+            f1[some] = np.add.reduceat(mix(value + _K[3]), first[some])
+            f2[some] = np.add.reduceat(mix(mix(value ^ _K[4]) + _K[2]), first[some])
+    return f1.view(np.int64), f2.view(np.int64)
+
+
+def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) to (id, f1, f2, n, sketch) of its set, n = 0 for none."""
+    for batch in batches:
+        for lo, hi in slices(batch.column(1)):
+            value, first = shingle_rows(batch.column(1).slice(lo, hi - lo))
+            f1, f2 = _prints(value, first)
+            sketch = pa.array(_sketches(value, first), pa.binary())
+            columns = [pa.array(f1), pa.array(f2), pa.array(np.diff(first).astype(np.int32)), sketch]
+            yield pa.record_batch([batch.column(0).slice(lo, hi - lo), *columns], names=["id", "f1", "f2", "n", "sketch"])
+    trim()
+
+
+def _signed(width: int):
+    """(doc_id, text) to (id, f1, f2, n, spare, own, sigs) of its set, if any.
+
+    `sigs` holds `width` bytes for each signature: `own` of them in the set's own band, then those in the next.
     """
+    names = ["id", "f1", "f2", "n", "spare", "own", "sigs"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs: list[tuple] = []
-        sigs: list[np.ndarray] = []
-        held = 0
+        for batch in batches:
+            for lo, hi in slices(batch.column(1)):
+                value, first = shingle_rows(batch.column(1).slice(lo, hi - lo))
+                some = np.flatnonzero(np.diff(first))
+                sizes = np.diff(first)[some]
+                first = np.concatenate([[0], np.cumsum(sizes)])
+                if not len(some):
+                    continue
+                f1, f2 = _prints(value, first)
+                own = np.searchsorted(np.array(bands(1 << 40)), sizes, side="right") - 1
+                parts, spares, counts = [], [], []
+                for step in (0, 1):
+                    sig, of, spare = _signatures(value, first, own + step)
+                    raw = np.ascontiguousarray(sig.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, 8 - width :]
+                    cuts = np.searchsorted(of, np.arange(len(sizes) + 1)) * width
+                    raw = np.ascontiguousarray(raw).tobytes()
+                    parts.append([raw[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)])
+                    counts.append(np.diff(cuts) // width)
+                    spares.append(spare)
+                yield pa.record_batch(
+                    [
+                        batch.column(0).slice(lo, hi - lo).take(pa.array(some)),
+                        pa.array(f1),
+                        pa.array(f2),
+                        pa.array(sizes.astype(np.int32)),
+                        pa.array(np.minimum(*spares).astype(np.int32)),
+                        pa.array(counts[0].astype(np.int32)),
+                        pa.array([x + y for x, y in zip(*parts, strict=True)], pa.binary()),
+                    ],
+                    names=names,
+                )
+        trim()
+
+    return run
+
+
+# --- meeting --------------------------------------------------------------------------------------
+
+_BLOCK = pa.schema([("bucket", pa.int32()), ("ids", pa.binary()), ("keys", pa.binary())])
+#: Widths of the steps between the ids of a block.
+_STEPS = ("<u1", "<u2", "<u4", "<u8")
+_SPARE = 255
+
+
+def _blocks(buckets: int, width: int):
+    """Rows (id, own, spare, sigs) to packed entries by bucket: ids as steps of the narrowest width, keys of four bytes.
+
+    A key is 31 bits of the signature and whether the set is there from the band below. What sets can spare
+    goes along, to any bucket.
+    """
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            if not docs:
-                return
-            head = np.array([d[:5] + (0,) for d in docs], dtype=_DOC)
-            lengths = np.array([len(x) for x in sigs])
-            flat = np.concatenate(sigs)
-            row = np.repeat(np.arange(len(docs)), lengths)
-            bucket = (flat % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            bucket, flat, row = bucket[order], flat[order], row[order]
-            edges = np.searchsorted(bucket, np.arange(buckets + 1))
-            five = np.ascontiguousarray((flat >> np.uint64(24)).astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :5]
-            out = {"bucket": [], "ids": [], "sigs": []}
-            for b in np.flatnonzero(np.diff(edges)):
-                lo, hi = edges[b], edges[b + 1]
-                who, n = np.unique(row[lo:hi], return_counts=True)
-                part = head[who]
-                part["count"] = n
-                out["bucket"].append(int(b))
-                out["ids"].append(part.tobytes())
-                out["sigs"].append(five[lo:hi].tobytes())
-            yield pa.record_batch([pa.array(v, t) for v, t in zip(out.values(), _BLOCK.types, strict=True)], schema=_BLOCK)
-            docs.clear()
-            sigs.clear()
+    def flush(ids: list, owns: list, spares: list, blobs: list) -> pa.RecordBatch:
+        who = np.array(ids, dtype=np.int64)
+        order = np.argsort(who, kind="stable")
+        raw = np.frombuffer(b"".join(blobs), dtype=np.uint8).reshape(-1, width)
+        wide = np.zeros((len(raw), 8), dtype=np.uint8)
+        wide[:, :width] = raw
+        sig = wide.view("<u8").ravel()
+        n = np.array([len(b) // width for b in blobs], dtype=np.int64)
+        row = np.repeat(np.arange(len(who)), n)
+        begin = np.concatenate([[0], np.cumsum(n)])
+        following = (np.arange(len(sig)) - begin[row]) >= np.array(owns, dtype=np.int64)[row]
+        rank = np.empty(len(who), dtype=np.int64)
+        rank[order] = np.arange(len(who))
+        bucket = (sig % np.uint64(buckets)).astype(np.int64)
+        key = ((sig // np.uint64(buckets)) << np.uint64(1) & np.uint64(0xFFFFFFFF) | following.astype(np.uint64)).astype("<u4")
+        by = np.lexsort((rank[row], bucket))
+        bucket, key, entry = bucket[by], key[by], who[row[by]]
+        edges = np.searchsorted(bucket, np.arange(buckets + 1))
+        out: dict[str, list] = {"bucket": [], "ids": [], "keys": []}
+        for b in np.flatnonzero(np.diff(edges)):
+            lo, hi = edges[b], edges[b + 1]
+            step = np.diff(entry[lo:hi])
+            most = int(step.max()) if len(step) else 0
+            code = next(i for i in range(4) if most < 1 << (8 << i) or i == 3) if not len(step) or step.min() >= 0 else 3
+            out["bucket"].append(int(b))
+            out["ids"].append(bytes([code]) + entry[lo : lo + 1].tobytes() + step.astype(_STEPS[code]).tobytes())
+            out["keys"].append(key[lo:hi].tobytes())
+        out["bucket"].append(int(who[0] % buckets))
+        out["ids"].append(bytes([_SPARE]) + who.tobytes())
+        out["keys"].append(np.array(spares, dtype="<i4").tobytes())
+        return pa.record_batch([pa.array(v, t) for v, t in zip(out.values(), _BLOCK.types, strict=True)], schema=_BLOCK)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[list] = [[], [], [], []]
+        held = 0
         for batch in batches:
-            ids = batch.column(0)
-            for lo, hi in slices(batch.column(1)):
-                for i, s in enumerate(shingle_sets(batch.column(1).slice(lo, hi - lo)), lo):
-                    doc = ids[i].as_py()
-                    if doc is None or not len(s):
-                        continue
-                    with np.errstate(over="ignore"):
-                        fp = int(mix(np.array([np.sum(mix(s), dtype=np.uint64) + np.uint64(len(s))]))[0])
-                    b = bands(1 << 40)
-                    own = int(np.searchsorted(b, len(s), side="right")) - 1
-                    both = [(j, *signatures(s, len(s), j)) for j in (own, own + 1)]
-                    docs.append((doc, fp, len(s), -1, max(min(32000, *(spare for _, _, spare in both)), -32000)))
-                    sigs.append(np.array([fp], dtype=np.uint64))
-                    for j, x, spare in both:
-                        if len(x):
-                            docs.append((doc, fp, len(s), j, max(min(spare, 32000), -32000)))
-                            sigs.append(x)
-                            held += len(x)
+            for row in zip(*batch.columns, strict=True):
+                for column, v in zip(rows, row, strict=True):
+                    column.append(v.as_py())
+                held += len(rows[3][-1]) // width + 1
                 if held > 1 << 20:
-                    yield from flush()
-                    held = 0
-        yield from flush()
+                    yield flush(*rows)
+                    rows, held = [[], [], [], []], 0
+        if rows[0]:
+            yield flush(*rows)
         trim()
 
     return run
@@ -210,186 +330,157 @@ _MET = "kind int, a long, b long, c long"
 
 
 def _meet(hot: int):
-    """All blocks of a bucket to rows: 0 (doc, representative: n and what it can spare), 1 (pair with a group's leader: signatures shared),
-    2 (doc, band: hot met, spare), 3 (doc, hot signature), 4 (any other pair: signatures shared)."""
+    """All blocks of a bucket to rows: 0 (doc: what it can spare), 1 (pair: signatures shared), 2 (doc: hot signatures met), 3 (doc, hot signature)."""
 
     def run(t: pa.Table) -> pa.Table:
-        heads, keys, rows = [], [], []
-        base = 0
+        keys, docs = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        out: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
         t = t.combine_chunks()
         bucket = t.column("bucket")[0].as_py()
-        for ids, sigs in zip(t.column("ids"), t.column("sigs"), strict=True):
-            head = np.frombuffer(ids.as_py(), dtype=_DOC)
-            five = np.frombuffer(sigs.as_py(), dtype=np.uint8).reshape(-1, 5)
-            wide = np.zeros((len(five), 8), dtype=np.uint8)
-            wide[:, :5] = five
-            heads.append(head)
-            keys.append(wide.view("<u8").ravel())
-            rows.append(np.repeat(np.arange(base, base + len(head), dtype=np.int32), head["count"]))
-            base += len(head)
-        head, key, row = np.concatenate(heads), np.concatenate(keys), np.concatenate(rows)
-        out: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
-
-        def add(kind, a, b, c):
-            if len(a):
-                out.append((kind, np.asarray(a, np.int64), np.asarray(b, np.int64), np.asarray(c, np.int64)))
-
-        own = head[head["band"] < 0]
-        if len(own):
-            order = np.lexsort((own["id"], own["n"], own["fp"]))
-            own = own[order]
-            first = np.ones(len(own), dtype=bool)
-            first[1:] = (own["fp"][1:] != own["fp"][:-1]) | (own["n"][1:] != own["n"][:-1])
-            rep = own["id"][np.maximum.accumulate(np.where(first, np.arange(len(own)), 0))]
-            add(0, own["id"], rep, own["n"].astype(np.int64) * 65536 + own["spare"] + 32768)
-        del own
-        mine = head["band"][row] >= 0
-        key, row = key[mine], row[mine]
+        for ids, key in zip(t.column("ids"), t.column("keys"), strict=True):
+            raw = ids.as_py()
+            if raw[0] == _SPARE:
+                who = np.frombuffer(raw, dtype="<i8", offset=1)
+                out.append((0, who, np.zeros(len(who), np.int64), np.frombuffer(key.as_py(), dtype="<i4")))
+                continue
+            steps = np.frombuffer(raw, dtype=_STEPS[raw[0]], offset=9).astype(np.int64)
+            docs.append(np.cumsum(np.concatenate([np.frombuffer(raw, dtype="<i8", count=1, offset=1), steps])))
+            keys.append(np.frombuffer(key.as_py(), dtype="<u4"))
+        key, doc = np.concatenate(keys), np.concatenate(docs)
+        del keys, docs
         # Signatures met once go first; what is left is small.
-        order = np.argsort(key)
-        key, row = key[order], row[order]
+        order = np.argsort(key >> np.uint32(1))
+        key, doc = key[order], doc[order]
         same = np.zeros(len(key) + 1, dtype=bool)
-        np.equal(key[1:], key[:-1], out=same[1:-1])
+        np.equal(key[1:] >> np.uint32(1), key[:-1] >> np.uint32(1), out=same[1:-1])
         keep = same[1:] | same[:-1]
-        key, row = key[keep], row[keep]
-        band = head["band"][row]
-        order = np.lexsort((head["id"][row], head["fp"][row], band, key))
-        key, row, band = key[order], row[order], band[order]
-        fp, doc = head["fp"][row], head["id"][row]
-        new = np.ones(len(key), dtype=bool)  # the smallest id of each set in each group
-        new[1:] = (key[1:] != key[:-1]) | (band[1:] != band[:-1]) | (fp[1:] != fp[:-1])
-        key, row, band, doc = key[new], row[new], band[new], doc[new]
-        begins = np.ones(len(key), dtype=bool)
-        begins[1:] = (key[1:] != key[:-1]) | (band[1:] != band[:-1])
+        key, doc = key[keep], doc[keep]
+        sig, above = (key >> np.uint32(1)).astype(np.int64), (key & np.uint32(1)).astype(bool)
+        order = np.lexsort((doc, above, sig))
+        sig, above, doc = sig[order], above[order], doc[order]
+        begins = np.ones(len(sig), dtype=bool)
+        begins[1:] = sig[1:] != sig[:-1]
         starts = np.flatnonzero(begins)
-        sizes = np.diff(np.append(starts, len(key)))
+        sizes = np.diff(np.append(starts, len(sig)))
         group = np.repeat(np.arange(len(starts)), sizes)
-        place = np.arange(len(key)) - starts[group] if len(key) else np.zeros(0, int)
-        pa_, pb_, kind = [], [], []
+        # A group in which no set is in its own band pairs nothing.
+        alive = (~above[starts])[group] if len(group) else above
+        place = np.arange(len(sig)) - starts[group] if len(sig) else np.zeros(0, int)
+        first, second = [], []
         for gap in range(1, hot):
-            i = np.flatnonzero((place >= gap) & (sizes[group] <= hot)) if len(key) else np.zeros(0, int)
+            i = np.flatnonzero(alive & (place >= gap) & (sizes[group] <= hot)) if len(sig) else np.zeros(0, int)
+            i = i[~above[i - gap]] if len(i) else i
             if not len(i):
                 break
-            pa_.append(doc[i - gap])
-            pb_.append(doc[i])
-            kind.append(np.where(place[i] == gap, 1, 4))
-        big = np.flatnonzero(sizes > hot)
+            first.append(doc[i - gap])
+            second.append(doc[i])
+        big = np.flatnonzero((sizes > hot) & ~above[starts]) if len(sig) else np.zeros(0, int)
         if len(big):
-            inside = sizes[group] > hot
+            inside = alive & (sizes[group] > hot)
             g, d = group[inside], doc[inside]
             for how in (d.view(np.uint64), mix(d.view(np.uint64))):
                 lead = np.lexsort((how, g))
                 head_of = lead[np.searchsorted(g[lead], big)]
                 leader = np.zeros(len(starts), dtype=np.int64)
                 leader[big] = d[head_of]
-                pa_.append(leader[g])
-                pb_.append(d)
-                kind.append(np.ones(len(d), dtype=np.int64))
-            met = np.unique(np.stack([row[inside].astype(np.int64)], 1), axis=0, return_counts=True)
-            who = head[met[0][:, 0]]
-            add(2, who["id"], who["band"].astype(np.int64) * 65536 + (who["spare"].astype(np.int64) + 32768), met[1])
-            add(3, d, key[inside].astype(np.int64) * 65536 + bucket % 65536, np.ones(len(d)))
-        if pa_:
-            x, y = np.concatenate(pa_), np.concatenate(pb_)
-            x, y, z = np.minimum(x, y), np.maximum(x, y), np.concatenate(kind)
-            order = np.lexsort((z, y, x))
-            x, y, z = x[order], y[order], z[order]
-            first = np.ones(len(x), dtype=bool)
-            first[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
-            at = np.flatnonzero(first)
-            times = np.diff(np.append(at, len(x)))
-            for number in (1, 4):
-                it = (x[at] != y[at]) & (z[at] == number)
-                add(number, x[at[it]], y[at[it]], times[it])
+                first.append(leader[g])
+                second.append(d)
+            met, times = np.unique(d, return_counts=True)
+            out.append((2, met, np.zeros(len(met), np.int64), times))
+            out.append((3, d, sig[inside] * 65536 + bucket % 65536 + (bucket // 65536 << 48), np.ones(len(d), np.int64)))
+        if first:
+            x, y = np.concatenate(first), np.concatenate(second)
+            x, y = np.minimum(x, y)[x != y], np.maximum(x, y)[x != y]
+            order = np.lexsort((y, x))
+            x, y = x[order], y[order]
+            new = np.ones(len(x), dtype=bool)
+            new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+            at = np.flatnonzero(new)
+            out.append((1, x[at], y[at], np.diff(np.append(at, len(x)))))
         kinds = np.concatenate([np.full(len(a), k, np.int32) for k, a, _, _ in out]) if out else np.zeros(0, np.int32)
-        cols = [np.concatenate([o[i] for o in out]) if out else np.zeros(0, np.int64) for i in (1, 2, 3)]
-        del head, key, row, heads, keys, rows
+        cols = [np.concatenate([o[i] for o in out]).astype(np.int64) if out else np.zeros(0, np.int64) for i in (1, 2, 3)]
+        del key, doc, sig
         trim()
         return pa.table({"kind": kinds, "a": cols[0], "b": cols[1], "c": cols[2]})
 
     return run
 
 
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, na, nb, sa, sb) to (a, b, apart): pairs whose sketches differ in no more bits than a link may."""
+    for batch in batches:
+        a, b, na, nb = (batch.column(i).to_numpy() for i in range(4))
+        apart = np.full(len(a), 1 << 30, dtype=np.int64)
+        sides = [batch.column(i) for i in (4, 5)]
+        sizes = [np.array([len(x.as_py()) for x in side], dtype=np.int64) if len(a) else np.zeros(0, np.int64) for side in sides]
+        for p, q in {(int(x), int(y)) for x, y in zip(*sizes, strict=True)}:
+            i = np.flatnonzero((sizes[0] == p) & (sizes[1] == q))
+            both = []
+            for side, wide in zip(sides, (p, q), strict=True):
+                x = np.frombuffer(b"".join(v.as_py() for v in side.take(pa.array(i))), dtype=np.uint8).reshape(len(i), wide)
+                both.append(np.bitwise_xor.reduce(x.reshape(len(i), -1, min(p, q)), axis=1))
+            apart[i] = np.bitwise_count(both[0] ^ both[1]).sum(axis=1, dtype=np.int64)
+        n, m = na.astype(np.int64), nb.astype(np.int64)
+        may = (apart <= n + m - 2 * -(-3 * (n + m) // 7)) & (4 * np.minimum(n, m) >= 3 * np.maximum(n, m))
+        yield pa.record_batch([pa.array(a[may]), pa.array(b[may]), pa.array(apart[may])], names=["a", "b", "apart"])
+
+
 # --- verification -----------------------------------------------------------------------------------
 
 
-def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to (id, the low 40 bits of each word's hash): five bytes a word."""
-    for batch in batches:
-        for lo, hi in slices(batch.column(1)):
-            w = Words(batch.column(1).slice(lo, hi - lo), SPACED)
-            five = np.ascontiguousarray(w.hash.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-            parts = [five[5 * x : 5 * y] for x, y in zip(w.first[:-1], w.first[1:], strict=True)]
-            yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array(parts, pa.binary())], names=["id", "s"])
-
-
-def _set_of(sequence: bytes) -> np.ndarray:
-    wide = np.zeros((len(sequence) // 5, 8), dtype=np.uint8)
-    wide[:, :5] = np.frombuffer(sequence, dtype=np.uint8).reshape(-1, 5)
-    h = wide.view("<u8").ravel()
-    m = len(h) - GRAM + 1
-    if m < 1:
-        return mix(np.array([np.sum(h * _K[: len(h)], dtype=np.uint64) + np.uint64(len(h))])) if len(h) else h
-    g = np.zeros(m, dtype=np.uint64)
-    for j in range(GRAM):
-        g += mix(h[j : j + m]) * _K[j]
-    return np.unique(mix(g))
+def word_set(text: bytes) -> set:
+    """The set of a text as tuples of its words."""
+    w = text.lower().split()
+    return set(zip(*(w[i:] for i in range(GRAM)))) if len(w) >= GRAM else {tuple(w)} if w else set()  # noqa: B905
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    last: tuple[bytes, np.ndarray] = (b"", np.zeros(0, np.uint64))
+    last: tuple = (None, set())
     for batch in batches:
         keep = np.zeros(len(batch), dtype=bool)
-        for i, (x, y) in enumerate(zip(batch.column("sa"), batch.column("sb"), strict=True)):
+        for i, (x, y) in enumerate(zip(batch.column("ta"), batch.column("tb"), strict=True)):
             x = x.as_py()
             if x != last[0]:
-                last = (x, _set_of(x))
-            r, s = last[1], _set_of(y.as_py())
-            if 4 * min(len(r), len(s)) < 3 * max(len(r), len(s)) or not len(r):
+                last = (x, word_set(x))
+            r, s = last[1], word_set(y.as_py())
+            if not r or 4 * min(len(r), len(s)) < 3 * max(len(r), len(s)):
                 continue
-            both = np.concatenate([r, s])
-            both.sort()
-            common = int(np.count_nonzero(both[1:] == both[:-1]))
+            common = len(r & s)
             keep[i] = 100 * common >= 75 * (len(r) + len(s) - common)
         yield batch.select(["a", "b"]).filter(pa.array(keep))
     trim()
 
 
-def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose sets link.
-
-    Word sequences are made only for documents in pairs and shuffled once by id; both joins read that
-    one shuffle. Different words are told apart by 40-bit hashes of the pair's own words.
-    """
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, t) of the documents in ids(id), and some more."""
     sieve = Sieve(ids, "id")
-    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    made = made.select("doc_id", "text", *sieve.hashes("doc_id")).mapInArrow(sieve.before(_sequences), "id long, s binary")
+    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("t")).where("doc_id IS NOT NULL AND t IS NOT NULL")
+    return made.select("doc_id", "t", *sieve.hashes("doc_id")).mapInArrow(sieve.before(), "id long, t binary")
+
+
+def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of doc_ids whose sets link, by the words of their whole texts."""
+    made = _texts(docs, pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))))
     x, y, p = made.alias("x"), made.alias("y"), pairs.alias("p")
-    one = p.join(x, F.col("p.a") == F.col("x.id")).select("p.a", "p.b", F.col("x.s").alias("sa")).alias("o")
-    two = one.join(y, F.col("o.b") == F.col("y.id")).select("o.a", "o.b", "o.sa", F.col("y.s").alias("sb"))
+    one = p.join(x, F.col("p.a") == F.col("x.id")).select("p.a", "p.b", F.col("x.t").alias("ta")).alias("o")
+    two = one.join(y, F.col("o.b") == F.col("y.id")).select("o.a", "o.b", "o.ta", F.col("y.t").alias("tb"))
     return two.mapInArrow(_linked, "a long, b long").distinct()
 
 
-def _possible(met: DataFrame) -> DataFrame:
-    """Pairs (a, b, c: signatures shared) that share as many as a link must.
+def _candidates(met: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b, apart) that share as many signatures as a link must and whose sketches are near enough.
 
     Linked sets agree on at least spare + 1 full partitions; those that were hot need not show up in c.
     """
-    shared = met.where("kind IN (1, 4)").groupBy("a", "b").agg(F.sum("c").alias("c"))
-    hot = met.where("kind = 2").groupBy(F.col("a").alias("id")).agg(F.sum("c").alias("hot"))
-    need = (
-        met.where("kind = 0")
-        .select(F.col("a").alias("id"), (F.pmod("c", F.lit(65536)) - 32768).alias("spare"))
-        .join(hot, "id", "left")
-        .select("id", (F.col("spare") + 1 - F.coalesce("hot", F.lit(0))).alias("need"))
-    )
-    return (
-        shared.join(need.select(F.col("id").alias("a"), F.col("need").alias("na")), "a")
-        .join(need.select(F.col("id").alias("b"), F.col("need").alias("nb")), "b")
-        .where("c >= na AND c >= nb")
-        .select("a", "b", "c")
-    )
+    hot = met.where("kind = 2").groupBy(F.col("a").alias("h")).agg(F.sum("c").alias("hot"))
+    spare = met.where("kind = 0").groupBy(F.col("a").alias("s")).agg(F.min("c").alias("spare"))
+    known = sets.join(spare, F.col("id") == F.col("s")).join(hot, F.col("id") == F.col("h"), "left")
+    known = known.select("id", "n", "sketch", (F.col("spare") + 1 - F.coalesce("hot", F.lit(0))).alias("need"))
+    x, y, p = known.alias("x"), known.alias("y"), met.where("kind = 1").alias("p")
+    one = p.join(x, (F.col("p.a") == F.col("x.id")) & (F.col("p.c") >= F.col("x.need")))
+    one = one.select("p.a", "p.b", "p.c", F.col("x.n").alias("na"), F.col("x.sketch").alias("sa")).alias("o")
+    two = one.join(y, (F.col("o.b") == F.col("y.id")) & (F.col("o.c") >= F.col("y.need")))
+    return two.select("o.a", "o.b", "o.na", F.col("y.n").alias("nb"), "o.sa", F.col("y.sketch").alias("sb")).mapInArrow(_near, "a long, b long, apart long")
 
 
 def _across(pairs: DataFrame, comp: DataFrame) -> DataFrame:
@@ -406,16 +497,17 @@ def _across(pairs: DataFrame, comp: DataFrame) -> DataFrame:
 def _block_links(t: pa.Table) -> pa.Table:
     """Links inside a pair of blocks, as many as connect what they connect.
 
-    Overlaps of all its sets come from matrix products over slices of the features that occur twice.
+    Overlaps of all its sets come from matrix products over slices of the features that occur twice; a link
+    counts if the sets of words confirm it.
     """
     side = np.array(t.column("side").to_pylist(), dtype=np.int64)
     ids, comp = t.column("id").to_numpy(), t.column("comp").to_numpy()
-    sets = [_set_of(x) for x in t.column("s").to_pylist()]
-    size = np.array([len(x) for x in sets])
+    texts = t.column("t").combine_chunks()
+    value, first = shingle_rows(texts)
+    size = np.diff(first)
     left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)  # side 2: both
-    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-    row = np.repeat(np.arange(len(sets)), size)
-    _, feature, times = np.unique(flat, return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(size)), size)
+    _, feature, times = np.unique(value, return_inverse=True, return_counts=True)
     twice = times[feature] > 1
     row, feature = row[twice], feature[twice]
     number = np.cumsum(times > 1) - 1
@@ -426,13 +518,14 @@ def _block_links(t: pa.Table) -> pa.Table:
     width = 2048
     for lo in range(0, int(feature[-1]) + 1 if len(feature) else 0, width):
         i, j = np.searchsorted(feature, [lo, lo + width])
-        m = np.zeros((len(sets), width), dtype=np.float32)
+        m = np.zeros((len(size), width), dtype=np.float32)
         m[row[i:j], feature[i:j] - lo] = 1
         common += m[left] @ m[right].T
     union = size[left][:, None] + size[right][None, :] - common
-    x, y = np.nonzero(100 * common >= 75 * union)
+    x, y = np.nonzero((100 * common >= 75 * union) & (union > 0))
     x, y = left[x], right[y]
     up = {c: c for c in comp.tolist()}
+    words: dict[int, set] = {}
 
     def find(c):
         while up[c] != c:
@@ -440,10 +533,15 @@ def _block_links(t: pa.Table) -> pa.Table:
             c = up[c]
         return c
 
+    def of(i):
+        if i not in words:
+            words[i] = word_set(texts[i].as_py())
+        return words[i]
+
     a, b = [], []
     for i, j in zip(x.tolist(), y.tolist(), strict=True):
         p, q = find(int(comp[i])), find(int(comp[j]))
-        if p != q:
+        if p != q and 100 * len(of(i) & of(j)) >= 75 * len(of(i) | of(j)):
             up[max(p, q)] = min(p, q)
             a.append(int(ids[i]))
             b.append(int(ids[j]))
@@ -451,20 +549,16 @@ def _block_links(t: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def _rest(docs: DataFrame, met: DataFrame, comp: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Links between sets that spent more agreements than they can spare, across the components so far.
+def _rest(docs: DataFrame, met: DataFrame, sets: DataFrame, comp: DataFrame, block: int = BLOCK) -> DataFrame | None:
+    """Links between sets that spent more agreements than they can spare, across the components so far; None for no such sets.
 
     Only such sets that share a hot signature with another component come here. Those that hot signatures
     connect form a family; families are cut into size classes (links stay in a class or reach the next) and
     blocks of `block` sets, and each pair of blocks is compared in one task. No pairs are written.
     """
-    spent = (
-        met.where("kind = 2")
-        .groupBy(F.col("a").alias("id"), F.shiftright("b", 16).alias("band"))
-        .agg(F.sum("c").alias("hot"), F.first(F.pmod("b", F.lit(65536)) - 32768).alias("spare"))
-        .where("hot > spare")
-    )
-    unsafe = spent.select("id").distinct()
+    hot = met.where("kind = 2").groupBy(F.col("a").alias("id")).agg(F.sum("c").alias("hot"))
+    spare = met.where("kind = 0").groupBy(F.col("a").alias("id")).agg(F.min("c").alias("spare"))
+    unsafe = hot.join(spare, "id").where("hot > spare").select("id")
     rows = (
         met.where("kind = 3")
         .select(F.col("a").alias("id"), F.col("b").alias("sig"))
@@ -474,8 +568,10 @@ def _rest(docs: DataFrame, met: DataFrame, comp: DataFrame, block: int = BLOCK)
     )
     mixed = rows.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("id").alias("lead")).where("lo < hi")
     open_ = cut(rows.join(mixed.select("sig", "lead"), "sig").select("id", "comp", "lead").distinct())
+    if not open_.count():
+        return None
     family = components(open_.select(F.col("lead").alias("a"), F.col("id").alias("b")))
-    size = met.where("kind = 0").select(F.col("a").alias("id"), F.shiftright("c", 16).alias("n"))
+    size = sets.groupBy("id").agg(F.max("n").alias("n"))
     placed = (
         open_.select("id", "comp")
         .distinct()
@@ -503,9 +599,7 @@ def _rest(docs: DataFrame, met: DataFrame, comp: DataFrame, block: int = BLOCK)
         "id", "comp", F.concat_ws(":", "family", "low.c", "low.b", "high.c", "high.b").alias("task"),
         F.when(F.col("low") == F.col("high"), 2).when(own == F.col("low"), 0).otherwise(1).alias("side"),
     )
-    sieve = Sieve(placed.select("id"), "id")
-    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select("doc_id", "text", *sieve.hashes("doc_id"))
-    made = made.mapInArrow(sieve.before(_sequences), "id long, s binary").dropDuplicates(["id"])
+    made = _texts(docs, placed.select("id"))
     return task.join(made, "id").groupBy("task").applyInArrow(_block_links, "a long, b long").distinct()
 
 
@@ -514,35 +608,43 @@ def jaccard_classes(docs: DataFrame, hot: int = HOT) -> DataFrame:
     spark = docs.sparkSession
     # A bucket should hold some 15 MB of signatures; the input's size is the planner's estimate.
     size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = int(min(max(size // (8 << 20), width), 1 << 20))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = int(min(max(size // (8 << 20), partitions), 1 << 20))
+    # Bytes of a signature: few unlike signatures may be equal by chance at any size of the input.
+    width = min(max(-(-(size.bit_length() + 5) // 8), 5), 8)
+    narrow = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id IS NOT NULL")
+    sets = cut(narrow.mapInArrow(_fingerprints, "id long, f1 long, f2 long, n int, sketch binary").where("n > 0"))
     met = cut(
-        docs.select(F.col("doc_id").cast("long"), "text")
-        .mapInArrow(_blocks(buckets), "bucket int, ids binary, sigs binary")
+        narrow.mapInArrow(_signed(width), "id long, f1 long, f2 long, n int, spare int, own int, sigs binary")
+        .groupBy("f1", "f2", "n")
+        .agg(F.min("id").alias("id"), F.first("own").alias("own"), F.first("spare").alias("spare"), F.first("sigs").alias("sigs"))
+        .select("id", "own", "spare", "sigs")
+        .mapInArrow(_blocks(buckets, width), "bucket int, ids binary, keys binary")
         .groupBy("bucket")
         .applyInArrow(_meet(hot), _MET)
         .groupBy("kind", "a", "b")
-        .agg(F.when(F.col("kind") == 0, F.max("c")).otherwise(F.sum("c")).alias("c"))
+        .agg(F.when(F.col("kind") == 0, F.min("c")).otherwise(F.sum("c")).alias("c"))
     )
     release(spark)
-    pairs = _possible(met)
-    # First each set with the smaller one with which it shares most signatures.
-    first = pairs.groupBy("b").agg(F.max_by("a", F.struct("c", -F.col("a"))).alias("a")).select("a", "b")
-    links = cut(verify(docs, first))
+    near = cut(_candidates(met, sets))
+    # First each set with the smaller one that looks nearest.
+    first = near.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a")).select("a", "b")
+    comp = cut(components(verify(docs, first)))
     release(spark)
-    comp = cut(components(links))
-    open_ = _across(pairs.select("a", "b"), comp).join(first, ["a", "b"], "left_anti")
-    links = cut(links.unionByName(verify(docs, cut(open_))))
-    comp = cut(components(links))
-    links = cut(links.unionByName(_rest(docs, met, comp)))
+    open_ = cut(_across(near.select("a", "b"), comp).join(first, ["a", "b"], "left_anti"))
+    comp = cut(components(stars(comp).unionByName(verify(docs, open_))))
     release(spark)
-    comp = components(links)
+    rest = _rest(docs, met, sets, comp)
+    if rest is not None:
+        comp = cut(components(stars(comp).unionByName(rest)))
+        release(spark)
+    comp = comp.groupBy(F.col("node").alias("rep")).agg(F.min("component").alias("component"))
+    found = sets.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep")).join(comp, "rep", "left")
     classes = (
-        met.where("kind = 0")
-        .select(F.col("a").alias("doc_id"), F.col("b").alias("rep"), F.shiftright("c", 16).alias("n_shingles"))
-        .join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-        .groupBy("doc_id")
-        .agg(F.max("n_shingles").alias("n_shingles"), F.min(F.coalesce("component", "rep")).alias("component_id"))
+        sets.select("id", "f1", "f2", "n")
+        .join(found, ["f1", "f2", "n"])
+        .groupBy(F.col("id").alias("doc_id"))
+        .agg(F.max("n").cast("long").alias("n_shingles"), F.min(F.coalesce("component", "rep")).alias("component_id"))
     )
     return docs.select(F.col("doc_id").cast("long")).join(classes, "doc_id", "left").select(
         "doc_id", F.coalesce("n_shingles", F.lit(0)).cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
