@@ -202,8 +202,10 @@ class Engine:
             raise ApiError(400, str(e)) from e
         session.total = total
         more, rows = len(rows) > size, rows[:size]
-        records = self._records_of(rows, session.seq)
-        data = [{**_shown(r), "record": records.get((r["kind"], r["id"]))} for r in rows]
+        parents = sorted({r["rubbingId"] for r in rows if r["rubbingId"]})
+        records = self._records_of([*(r["id"] for r in rows), *parents], session.seq)
+        alive = records if session.seq == self.log.seq else self._records_of(parents, self.log.seq)
+        data = [{**_shown(r, ("rubbing", r["rubbingId"]) in alive), "record": records.get((r["kind"], r["id"]))} for r in rows]
         return {
             "data": data,
             "total": session.total,
@@ -220,11 +222,11 @@ class Engine:
             "sessionCreated": created,
         }
 
-    def _records_of(self, rows: list[dict], seq: int) -> dict[tuple[str, str], dict]:
-        """The records of a page's hits (at most a page of them), folded from their own changes only."""
-        if not rows:
+    def _records_of(self, ids: list[str], seq: int) -> dict[tuple[str, str], dict]:
+        """The records of a page's ids as of seq, folded from their own changes only."""
+        if not ids:
             return {}
-        found = self.log.state(seq, ids=sorted({r["id"] for r in rows})).select("kind", "id", "payload").collect()
+        found = self.log.state(seq, ids=sorted(set(ids))).select("kind", "id", "payload").collect()
         return {(r["kind"], r["id"]): {f.name: json.loads(r["payload"]).get(f.name) for f in KINDS[r["kind"]]} for r in found}
 
     def sweep(self) -> None:
@@ -407,8 +409,8 @@ class Engine:
         raise ApiError(404, f"no such route; there are {ROUTES}")
 
 
-def _shown(hit: dict) -> dict:
-    """The columns of a hit as it is shown."""
+def _shown(hit: dict, parent_lives: bool) -> dict:
+    """The columns of a hit as it is shown; the parent only while it lives, with code and source of the doc."""
     names = ("kind", "id", "code", "source", "damageType", "name", "createdAt", "score", "matchedReasons")
-    parent = {"id": hit["rubbingId"], "code": hit["code"], "source": hit["source"]} if hit["parent"] else None
+    parent = {"id": hit["rubbingId"], "code": hit["code"], "source": hit["source"]} if parent_lives else None
     return {**{n: hit[n] for n in names}, "kindLabel": KIND_LABELS[hit["kind"]], "rubbing": parent}

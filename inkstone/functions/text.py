@@ -112,6 +112,17 @@ def window(n: Column, q: str) -> Column:
     return F.when(n.contains(q[:half]) | n.contains(q[half:]), F.get(F.filter(near, lambda w: F.levenshtein(w, lit, 1) >= 0), F.lit(0)))
 
 
+@lru_cache(1 << 16)
+def within_one(a: str, b: str) -> bool:
+    """Are two strings at most one edit apart?"""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(b) - len(a) > 1:
+        return False
+    i = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), len(a))
+    return a[i + (len(a) == len(b)) :] == b[i + 1 :]
+
+
 def instant(c: Column) -> Column:
     """An ISO-8601 string as an instant; null if it does not parse."""
     return c.try_cast("timestamp")

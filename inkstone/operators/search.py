@@ -16,12 +16,14 @@ from datetime import UTC, datetime
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from inkstone.functions.text import instant, norm_text, segment_grams, window
+from inkstone.functions.text import instant, norm_text, segment_grams, window, within_one
 from inkstone.plans.docs import field_dictionary
 from inkstone.schema import FIELD_LABELS, FIELDS, KIND_LABELS, WEIGHTS
 
-#: Values that the interactive path takes to the driver, at most; with more it joins.
+#: Values that matter for a query that the interactive path takes as sets, at most; with more it joins.
 FEW_VALUES = 20_000
+#: A dictionary of at most so many values is held by the interactive path; of a larger one each query reads what matters.
+HELD_VALUES = 200_000
 #: Names of kinds, and the words of an explanation.
 _KIND_NAMES = {
     "rubbing": "rubbing", "rubbings": "rubbing", "拓片": "rubbing", "damage": "damage", "damages": "damage", "缺损项": "damage",
@@ -195,12 +197,69 @@ def _in(field: str, values: list[str]) -> Column:
     return F.expr(f"{field} IN ({quoted})") if values else F.lit(False)
 
 
+def near_piece(n: str, q: str) -> str | None:
+    """`window` of two strings."""
+    half = len(q) // 2
+    if len(q) < 2 or not (q[:half] in n or q[half:] in n):
+        return None
+    pieces = (n[i : i + size] for size in range(max(2, len(q) - 1), len(q) + 2) for i in range(len(n) - size + 1))
+    return next((p for p in pieces if within_one(p, q)), None)
+
+
+class HeldDictionary:
+    """A small dictionary in memory, with the numbers of the values that have a gram."""
+
+    def __init__(self, rows: list[dict]):
+        self.rows = rows
+        self.having: dict[str, list[int]] = {}
+        for i, r in enumerate(rows):
+            for g in r["grams"]:
+                self.having.setdefault(g, []).append(i)
+
+    def values_for(self, q: str, fields: tuple[str, ...]) -> list[dict]:
+        """As the function of this name, but for values that no matching doc can have.
+
+        Those lack a segment that no value of another field asked for has.
+        """
+        hits: dict[int, list[int]] = {}
+        of: list[set] = []
+        for number, grams in enumerate(segment_grams(q)):
+            found = {i for g in grams for i in self.having.get(g, ())}
+            of.append({self.rows[i]["field"] for i in found} & set(fields))
+            for i in found:
+                hits.setdefault(i, []).append(number)
+        alone = {f: [number for number, having in enumerate(of) if not having - {f}] for f in fields}
+        half, out = len(q) // 2, []
+        for i, r in enumerate(self.rows):
+            n = r["norm"]
+            if r["field"] not in fields or not (i in hits or q[:half] in n or q[half:] in n):
+                continue
+            if any(number not in hits.get(i, ()) for number in alone[r["field"]]):
+                continue
+            bonus = 20 if n == q else 8 if q in n else None
+            piece = q if bonus else near_piece(n, q)
+            if piece is not None or i in hits:
+                known = bonus or (-10 if piece is not None else None)
+                out.append({"field": r["field"], "raw": r["raw"], "bonus": known, "distance": 0 if bonus else 1, "window": piece, "hits": hits.get(i, [])})
+        return out
+
+
 class SearchIndex:
     """Docs and their dictionary (both kept by the caller: cached, or tables of a generation)."""
 
     def __init__(self, docs: DataFrame, dictionary: DataFrame):
         self.docs, self.dictionary = docs, dictionary
         self.spark = docs.sparkSession
+        self._held: HeldDictionary | None = None
+        self._counted = False
+
+    def held(self) -> HeldDictionary | None:
+        """The dictionary in memory, None if it is not a small one."""
+        if not self._counted:
+            self._counted = True
+            if self.dictionary.count() <= HELD_VALUES:
+                self._held = HeldDictionary(self.dictionary.select("field", "raw", "norm", "grams").toArrow().to_pylist())
+        return self._held
 
     def search(self, query: SearchQuery) -> DataFrame:
         return search(self.docs, query, self.dictionary)
@@ -212,11 +271,13 @@ class SearchIndex:
         asked += [(query.q, free, FIELDS)] if free else []
         out = []
         for raw, q, fields in asked:
-            values = values_for(self.dictionary, q, fields)
-            n, free_ = len(segment_grams(q)), fields == FIELDS
+            n, free_, held = len(segment_grams(q)), fields == FIELDS, self.held()
+            if held is not None:
+                rows = held.values_for(q, fields)
+            else:
+                rows = values_for(self.dictionary, q, fields).limit(FEW_VALUES + 1).toArrow().to_pylist()
             if not free_:
-                values = values.where(F.col("bonus").isNotNull() & (F.size("hits") == n))
-            rows = values.limit(FEW_VALUES + 1).toArrow().to_pylist()
+                rows = [r for r in rows if r["bonus"] is not None and len(r["hits"]) == n]
             if len(rows) > FEW_VALUES:
                 return None
             if free_:

@@ -14,6 +14,7 @@ import json
 import re
 import threading
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -188,6 +189,28 @@ class ChangeLog:
                     self.folder.remove(f"snapshot/{name}")
             return self.base
 
+    def load(self, tables: dict[str, DataFrame]) -> int:
+        """Tables of records by kind, in listing order, as the first snapshot; only into an empty log."""
+        with self._lock:
+            if self.seq:
+                return self.seq
+            parts = []
+            for at, (kind, rows) in enumerate(tables.items()):
+                row = F.struct(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in KINDS[kind]])
+                place = F.monotonically_increasing_id() * len(LISTS) + at
+                parts.append(
+                    rows.select(
+                        F.lit(kind).alias("kind"), "id", F.to_json(row, {"ignoreNullFields": "false"}).alias("payload"), (place + 1).alias("first_seq"), F.lit(0).alias("first_sub")
+                    )
+                )
+            out = reduce(DataFrame.unionByName, parts).withColumn("first_sub", F.col("first_sub").cast("int"))
+            # Listing order goes by first_seq; what is loaded stands before every later change.
+            out = out.withColumn("first_seq", F.col("first_seq") - F.lit(1 << 62))
+            out.write.mode("overwrite").parquet(f"{self.path}/snapshot/v=1")
+            self.folder.replace("CURRENT", "1")
+            self.base = self.seq = 1
+            return 1
+
     def import_archive(self, file: str) -> int:
         """A snapshot file {version, seq, data} or a legacy {rubbings, damages, batches}; only into an empty log."""
         with self._lock:

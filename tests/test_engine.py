@@ -296,6 +296,28 @@ def test_vacuum_drops_old_generations(engine):
     assert engine.vacuum() == ["seq=1"] and len(ids(engine.search())) == 5
 
 
+def test_seed(spark, tmp_path):
+    from inkstone.sources import seed
+
+    to = str(tmp_path / "seeded")
+    got = seed.seed(spark, seed.arguments(["--dir", to, "--count", "1200", "--no-index"]))
+    assert got["docs"] == 0 and Engine(spark, to).status()["docs"] == 1200
+    got = seed.seed(spark, seed.arguments(["--dir", to, "--count", "600", "--wipe"]))
+    assert got["docs"] == 600 and got["probes"]["虫蛀孔"][0] > 0
+    with Engine(spark, to) as e:
+        assert ids(e.records("rubbing").limit(2)) == ["rub_seed_0000000", "rub_seed_0000001"]
+        e.mutate([["upsertRubbing", {"id": "rub_seed_0000000", "note": "later"}], ["upsertRubbing", {"id": "new"}]])
+        assert ids(e.records("rubbing"))[-1] == "new" and e.records("rubbing").first().code.startswith("TP-")
+
+
+def test_a_session_shows_only_living_parents(engine):
+    one = engine.search_paged({"q": "虫蛀孔"})
+    assert one["data"][0]["rubbing"]["code"] == "TP-清-014" and one["data"][0]["record"]["type"] == "虫蛀孔"
+    engine.mutate([["deleteRubbing", "r1"]])
+    again = engine.search_paged(sessionId=one["page"]["sessionId"])
+    assert again["data"][0]["rubbing"] is None and again["data"][0]["record"]["type"] == "虫蛀孔"
+
+
 def test_bodies(engine):
     assert engine.handle("POST", "/rubbings", body='{"code": "c", "source": "s", "paperSize": "1"}')["data"]["code"] == "c"
     for body, status in (("{", 400), ("[1]", 400), ("", 400)):  # an empty body is {}, which lacks the fields

@@ -42,3 +42,17 @@ def test_tokens(spark):
 def test_window(spark, needle, hay, piece):
     got = spark.createDataFrame([(hay,)], "n string").select(X.window(F.col("n"), needle)).first()[0]
     assert got == piece or (piece and got and abs(len(got) - len(needle)) <= 1)
+
+
+def test_near_pieces_of_strings_are_windows(spark):
+    import random
+
+    from inkstone.operators.search import near_piece
+
+    rng = random.Random(4)
+    pairs = [("".join(rng.choice("abc") for _ in range(rng.randint(0, 9))), "".join(rng.choice("abc") for _ in range(rng.randint(2, 5)))) for _ in range(60)]
+    for q in {q for _, q in pairs}:
+        mine = sorted({n for n, x in pairs if x == q})
+        rows = spark.createDataFrame([(n,) for n in mine], "n string").select("n", X.window(F.col("n"), q).alias("w")).collect()
+        for r in rows:
+            assert near_piece(r.n, q) == r.w
