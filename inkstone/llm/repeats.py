@@ -15,10 +15,10 @@ r"""Suffix-array dedup (operator 9): remove every byte covered by a 400-byte str
    its members share on both sides of the anchor; these grow with every round, so the rounds end.
 4. Spans are merged per text.
 
-Equal texts are one text (by MD5); of 400 bytes or more they vanish wholly. Runs with a short period
-keep anchors only near their ends, their inside is repeated by itself. Null text: empty; texts under 400
-bytes keep everything. Rows may repeat a doc_id or have none: results belong to the text. Extra columns
-are ignored.
+Equal texts are one text (by 128 bits of SHA-256); of 400 bytes or more they vanish wholly. Runs with a short
+period keep anchors only near their ends, their inside is repeated by itself. Null text: empty; texts under 400
+bytes keep everything. Rows may repeat a doc_id or have none: results belong to the text. Very long texts are
+read whole, in pieces that overlap by a window. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -83,8 +83,11 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int =
     return at, g[at]
 
 
-def thin_runs(at: np.ndarray, h: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Which anchors of one text to keep, and the insides of its periodic runs as (start, end)."""
+def thin_runs(at: np.ndarray, h: np.ndarray, length: int, gram: int, raw: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Which anchors of one text to keep, and the insides of its periodic runs as (start, end).
+
+    Equal gram hashes at equal steps propose a run; it is one where its bytes return after a step.
+    """
     keep = np.ones(len(at), dtype=bool)
     spans: list[tuple[int, int]] = []
     if len(at) < 3:
@@ -97,7 +100,7 @@ def thin_runs(at: np.ndarray, h: np.ndarray, length: int, gram: int) -> tuple[np
     edge = np.diff(np.concatenate([[0], run.astype(np.int8), [0]]))
     for lo, hi in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True):
         a, b, d = int(at[lo]), int(at[hi + 1]) + gram, int(step[lo])
-        if b - a >= length + d:
+        if b - a >= length + d and np.array_equal(raw[a : b - d], raw[a + d : b]):
             spans.append((a, b))
             inside = (at > a + 2 * length) & (at < b - 2 * length)
             keep &= ~inside
@@ -131,7 +134,7 @@ def _find(length: int, gram: int):
                 runs: list[tuple[int, int, int]] = []
                 for d in np.flatnonzero(np.diff(edges) > 2):
                     part = slice(edges[d], edges[d + 1])
-                    keep[part], spans = thin_runs(at[part] - off[d], h[part], length, gram)
+                    keep[part], spans = thin_runs(at[part] - off[d], h[part], length, gram, raw[off[d] : off[d + 1]])
                     runs += [(d, a, b - a) for a, b in spans]
                 extra = np.array(runs, dtype=np.int64).reshape(-1, 3)
                 who = np.concatenate([doc[keep], extra[:, 0]]).astype(np.int64)
@@ -393,7 +396,7 @@ def _shared(a: bytes, b: bytes) -> int:
 
 
 def _follow(length: int):
-    """Members of hot groups and their leaders to spans (len > 0) and to the two narrower groups they go on in.
+    """Members of hot groups and their leaders to one row each: the span shared with the leader, and the two narrower groups to go on in.
 
     A group's members share its core: a bytes left and b bytes right of the anchor; windows that are still open
     cover it. One that a member does not share with its leader reaches one byte beyond what both share, to the
@@ -401,39 +404,42 @@ def _follow(length: int):
     both meet in the group of the core that is extended to it and keeps its other side. A core longer than a
     window lies in none.
     """
-    types = (*_PLACE_TYPES, pa.int32(), pa.int32())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in types]
+            out: list[list] = [[] for _ in _FOLLOWED]
             leaders: set[tuple] = set()
-
-            def add(*row, out=out) -> None:
-                for c, v in zip(out, row, strict=True):
-                    c.append(v)
-
             names = ("key", "pos", "a", "b", "left", "ctx", "lkey", "lpos", "lleft", "lctx")
             for key, pos, a, b, left, ctx, lkey, lpos, lleft, lctx in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
                 if (key, pos) == (lkey, lpos):
                     continue
                 r = _shared(ctx[left:], lctx[lleft:])
                 lf = _shared(ctx[:left][::-1], lctx[:lleft][::-1])
+                row = [key, pos, 0, 0]
                 if r + lf >= length:
-                    add(0, key, pos - lf, r + lf, 0, 0)
+                    row[2:] = [pos - lf, r + lf]
                     leaders.add((lkey, lpos - lf, r + lf))
                 for x, y in ((a, r + 1), (lf + 1, b)):
                     if x <= left and left + y <= len(ctx) and x + y <= length:
                         core = x.to_bytes(4, "little") + ctx[left - x : left + y]
-                        add(int.from_bytes(hashlib.blake2b(core, digest_size=8).digest(), "little", signed=True), key, pos, 0, x, y)
-            for row in leaders:
-                add(0, *row, 0, 0)
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["h", "key", "pos", "len", "a", "b"])
+                        row += [int.from_bytes(hashlib.blake2b(core, digest_size=8).digest(), "little", signed=True), x, y]
+                    else:
+                        row += [None, 0, 0]
+                for c, v in zip(out, row, strict=True):
+                    c.append(v)
+            for key, lo, n in leaders:
+                for c, v in zip(out, (key, 0, lo, n, None, 0, 0, None, 0, 0), strict=True):
+                    c.append(v)
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(out, _FOLLOWED.values(), strict=True)], names=list(_FOLLOWED))
 
     return run
 
 
+_FOLLOWED = {"key": pa.binary(), "pos": pa.int64(), "lo": pa.int64(), "len": pa.int64()} | {
+    f"{c}{i}": t for i in (1, 2) for c, t in (("h", pa.int64()), ("a", pa.int32()), ("b", pa.int32()))
+}
+_FOLLOWED_SQL = "key binary, pos long, lo long, len long, h1 long, a1 int, b1 int, h2 long, a2 int, b2 int"
 _PLACES = "h long, key binary, pos long, len long"
-_PLACE_TYPES = (pa.int64(), pa.binary(), pa.int64(), pa.int64())
 
 
 def _cut_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -464,14 +470,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     """docs(doc_id, text) to doc_id, n_bytes, spans array<struct<lo,hi>> (null: the whole text), kept_sha256."""
     spark = docs.sparkSession
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    keyed = docs.select("doc_id", F.unhex(F.md5(raw)).alias("key"), raw.alias("text"))
+    keyed = docs.select("doc_id", F.unhex(F.substring(F.sha2(raw, 256), 1, 32)).alias("key"), raw.alias("text"))
     long_ = keyed.where(F.octet_length("text") >= length)
+
     def texts(keys: DataFrame) -> DataFrame:
         """One row (key, text) for each key."""
         sieve = Sieve(keys.select(F.xxhash64("key").alias("x")), "x")
         some = long_.withColumn("x", F.xxhash64("key")).select("key", "text", *sieve.hashes("x"))
         some = some.mapInArrow(sieve.before(), "key binary, text binary")
-        return some.join(keys, "key").dropDuplicates(["key"])
+        # Copies go before the shuffle, so that a hot text sends one row from each task.
+        return some.groupBy("key").agg(F.first("text").alias("text")).join(keys, "key")
 
     def contexts(marks: DataFrame) -> DataFrame:
         lists = cut(marks.groupBy("key").agg(F.collect_list(F.struct("pos", "h", "a", "b")).alias("at")))  # bounded by a text's length
@@ -481,7 +489,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
 
     size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = int(min(max(size // (4 << 20), width), 1 << 22))
+    buckets = int(min(max(size // (2 << 20), width), 1 << 22))
     found = cut(long_.select("key", "text").mapInArrow(_find(length, gram), _PLACES).distinct())
     release(spark)
     spans = found.where("len > 0")
@@ -509,18 +517,21 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
         )
         # A leader takes less than a kilobyte; beyond 64 MB of them Spark joins by h and splits hot values.
         joined = members.join(F.broadcast(lead_ctx) if n_hot <= LEADERS else lead_ctx, "h")
-        followed = cut(joined.mapInArrow(_follow(length), f"{_PLACES}, a int, b int").distinct())
+        followed = cut(joined.mapInArrow(_follow(length), _FOLLOWED_SQL))
         release(spark)
-        spans = spans.unionByName(followed.where("len > 0").select("key", "pos", "len"))
-        marks = followed.where("len = 0").select("h", "key", "pos", "a", "b")
+        spans = spans.unionByName(followed.where("len > 0").select("key", F.col("lo").alias("pos"), "len").distinct())
+        narrower = [followed.select(F.col(f"h{i}").alias("h"), "key", "pos", F.col(f"a{i}").alias("a"), F.col(f"b{i}").alias("b")) for i in (1, 2)]
+        marks = narrower[0].unionByName(narrower[1]).where("h IS NOT NULL").distinct()
     spans = cut(spans.groupBy("key").agg(F.collect_list(F.struct(F.col("pos").alias("lo"), (F.col("pos") + F.col("len")).alias("hi"))).alias("found")))
     done = texts(spans).select("key", "text", "found").mapInArrow(
         _cut_text, "key binary, spans array<struct<lo:long,hi:long>>, kept_sha256 string"
     )
     narrow = keyed.select("doc_id", "key", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"))
-    copies = narrow.groupBy("key").agg((F.count(F.lit(1)) > 1).alias("copied"))
-    out = narrow.join(copies, "key").join(done, "key", "left")
-    gone = F.col("copied") & (F.col("n_bytes") >= length)
+    copies = narrow.where(F.col("n_bytes") >= length).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.lit(True).alias("copied"))
+    # Texts too short for a repeat are joined by their doc_id's hash in place of the key, which empty ones share.
+    at = F.when(F.col("n_bytes") >= length, F.col("key")).otherwise(F.concat(F.lit("-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).cast("binary")
+    out = narrow.withColumn("key", at).join(copies, "key", "left").join(done, "key", "left")
+    gone = F.coalesce("copied", F.lit(False))
     everything = F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.col("n_bytes").alias("hi")))
     nothing = F.expr("cast(array() as array<struct<lo:bigint,hi:bigint>>)")
     return out.select(
@@ -534,4 +545,5 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["hi"] - s["lo"])
-    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+    out = out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+    return out.withColumn("has_repeat", F.col("n_removed") > 0)
