@@ -69,7 +69,8 @@ def gapless(df: DataFrame, order: list[str], name: str, within: str | None = Non
     b = df.select(
         F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_row"),
         *[F.col(f"`{c}`").alias(o) for c, o in zip(order, orders, strict=True)],
-        *([F.col(f"`{within}`").alias("_k")] if within else []),
+        # Never null, so that the join below is by the same keys as the window and moves no rows.
+        *([F.coalesce(F.concat(F.lit("v"), F.col(f"`{within}`").cast("string")), F.lit("n")).alias("_k")] if within else []),
     ).withColumn("_bucket", F.pmod(F.xxhash64(*orders), F.lit(buckets)).cast("int"))
     starts = (
         b.groupBy(*keys, "_bucket")
@@ -80,7 +81,7 @@ def gapless(df: DataFrame, order: list[str], name: str, within: str | None = Non
     ranked = b.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*orders)))
     on: Column = F.col("_bucket") == F.col("_b")
     for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"_s{k}"))
+        on = on & (F.col(k) == F.col(f"_s{k}"))
     return ranked.join(starts if within else F.broadcast(starts), on).select(
         *[F.col(f"_row.`{c}`").alias(c) for c in rest], (F.col("_start") + F.col("_rank") - 1).alias(name)
     )
