@@ -364,6 +364,52 @@ def test_repeats_around_one_gram(spark, levels, alts, n, hot):
     assert got == dict(enumerate(brute_repeats([t.encode() for t in texts], length)))
 
 
+def test_repeats_of_colliding_bytes(spark):
+    """Two strings that one polynomial hash modulo 2^64 takes for the same, at the end of texts whose last windows stand twice each."""
+    length, gram = 60, 12
+    pair = "mllomlllnlllnmnlmllnnmmmnm", "mnnlmnonmnnnmmlnnoommmmmln"
+    s = [repeats.prefix_hash(np.frombuffer(w.encode(), dtype=np.uint8))[-1] for w in pair]
+    assert s[0] == s[1]
+    rng = random.Random(3)
+    word = lambda k: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(k))
+    texts = []
+    for _ in range(24):
+        passage = word(length - len(pair[0]))
+        texts += [word(30) + passage + pair[i % 2] for i in range(4)]
+    got = repeats.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), length, gram)
+    got = {r.doc_id: (sum(s.hi - s.lo for s in r.spans), len(r.spans), r.kept_sha256) for r in got.collect()}
+    assert got == dict(enumerate(brute_repeats([t.encode() for t in texts], length)))
+
+
+@pytest.mark.parametrize("members,alts,hashes", [(60, [40] + [1] * 11, False), (700, [2] * 12, True)])
+def test_repeats_sorts_without_hashes(monkeypatch, members, alts, hashes):
+    """Groups are sorted by bytes; windows are hashed only where open members are many."""
+    length, gram = 60, 12
+    rng = random.Random(8)
+    word = lambda k: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(k))
+    middle = word(gram)
+    sides = [[word(8) for _ in range(k)] for k in alts]
+    texts = sorted({"".join(map(rng.choice, sides[:6])) + middle + "".join(map(rng.choice, sides[6:])) for _ in range(members)})
+    left = 48
+    table = pa.table(
+        {
+            "h": np.zeros(len(texts), np.int64),
+            "key": pa.array([str(i).encode() for i in range(len(texts))], pa.binary()),
+            "pos": np.full(len(texts), left),
+            "left": pa.array([left] * len(texts), pa.int32()),
+            "ctx": pa.array([t.encode() for t in texts], pa.binary()),
+        }
+    )
+    calls = []
+    monkeypatch.setattr(repeats, "prefix_hash", lambda data, real=repeats.prefix_hash: calls.append(len(data)) or real(data))
+    got = {int(r["key"]): [] for r in table.to_pylist()}
+    for r in repeats._sort_bucket(length, gram)(table).to_pylist():
+        got[int(r["key"])].append((r["lo"], r["hi"]))
+    assert bool(calls) == hashes
+    for (i, spans), (n, k, _) in zip(sorted(got.items()), brute_repeats([t.encode() for t in texts], length), strict=True):
+        assert (sum(hi - lo for lo, hi in spans), len(spans)) == (n, k)
+
+
 def test_suffix_sort():
     rng = np.random.default_rng(4)
     data = rng.integers(97, 99, 600).astype(np.uint8)
